@@ -26,6 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..shipping import ship
 from .common import whole
 
 SPACE = "▁"
@@ -253,6 +254,7 @@ def encode_documents(docs: DataFrame, model_file: str, *, id_col: str = "doc_id"
     have no ids: n_tokens 0 and the digests of the empty string. Repeated rows give repeated rows; a null
     id stays null; other columns of the input are not read. No shuffle: each task codes what it scans.
     """
+    ship(docs.sparkSession)
     id_type = docs.schema[id_col].dataType
     rows = docs.select(F.col(id_col).alias("doc_id"), whole(text_col).alias("_text"))
     kind = f"doc_id {id_type.simpleString()}, n_tokens bigint, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids + ", decoded string" * with_text
