@@ -9,7 +9,9 @@ from pyspark.sql import functions as F
 
 from .exact_dedup import EXACT_SQL, exact_dedup
 from .line_dedup import LINES_SQL, line_bitmaps
+from .mixing import mix_sql, plan_mix
 from .piece_codec import encode_documents
+from .common import Stage
 from .topk import TOP_SQL, top_k
 from .url_filter import Rule, judge_sql, judge_urls
 
@@ -51,6 +53,10 @@ def op7_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_k(_read(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
 
 
+def op8_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return plan_mix(_read(spark, sf_dir, "documents"), Stage(spark, "mix"))
+
+
 def op10_piece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_documents(_read(spark, sf_dir, "documents"), piece_model())
 
@@ -61,9 +67,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_exact_dedup": op3_exact_dedup,
         "op6_url_filter": op6_url_filter,
         "op7_exact_top_k": op7_exact_top_k,
+        "op8_source_mixing": op8_source_mixing,
         "op10_piece_codec": op10_piece_codec,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_line_dedup": LINES_SQL, "op3_exact_dedup": EXACT_SQL, "op6_url_filter": judge_sql(URL_RULES), "op7_exact_top_k": TOP_SQL}
+    return {"op2_line_dedup": LINES_SQL, "op3_exact_dedup": EXACT_SQL, "op6_url_filter": judge_sql(URL_RULES), "op7_exact_top_k": TOP_SQL, "op8_source_mixing": mix_sql()}
