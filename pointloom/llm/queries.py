@@ -12,6 +12,7 @@ from .line_dedup import LINES_SQL, line_bitmaps
 from .mixing import mix_sql, plan_mix
 from .piece_codec import encode_documents
 from .common import Stage
+from .toxicity import score_documents
 from .topk import TOP_SQL, top_k
 from .url_filter import Rule, judge_sql, judge_urls
 
@@ -36,6 +37,10 @@ def piece_model() -> str:
     return public_tokenizers.path("piece_bpe_32k.model")
 
 
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_documents(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
+
+
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = line_bitmaps(_read(spark, sf_dir, "documents"), with_text=True)
     return kept.select("doc_id", "n_lines", "n_dropped", F.sha2("kept_text", 256).alias("kept_sha256"))
@@ -63,6 +68,7 @@ def op10_piece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_toxicity": op1_toxicity,
         "op2_line_dedup": op2_line_dedup,
         "op3_exact_dedup": op3_exact_dedup,
         "op6_url_filter": op6_url_filter,
