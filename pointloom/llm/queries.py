@@ -13,6 +13,7 @@ from .mixing import mix_sql, plan_mix
 from .piece_codec import encode_documents
 from .common import Stage
 from .toxicity import score_documents
+from . import quality
 from .topk import TOP_SQL, top_k
 from .url_filter import Rule, judge_sql, judge_urls
 
@@ -50,6 +51,10 @@ def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(spark, f"{sf_dir}/documents.parquet")
 
 
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.score_documents(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
+
+
 def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge_urls(_read(spark, sf_dir, "pages"), URL_RULES)
 
@@ -71,6 +76,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_toxicity": op1_toxicity,
         "op2_line_dedup": op2_line_dedup,
         "op3_exact_dedup": op3_exact_dedup,
+        "op4_quality": op4_quality,
         "op6_url_filter": op6_url_filter,
         "op7_exact_top_k": op7_exact_top_k,
         "op8_source_mixing": op8_source_mixing,
