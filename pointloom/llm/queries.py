@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from .exact_dedup import EXACT_SQL, exact_dedup
 from .line_dedup import LINES_SQL, line_bitmaps
 from .mixing import mix_sql, plan_mix
+from .near_dedup import near_classes
 from .piece_codec import encode_documents
 from .common import Stage
 from .toxicity import score_documents
@@ -55,6 +56,10 @@ def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score_documents(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
 
 
+def op5_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_classes(_read(spark, sf_dir, "documents"))
+
+
 def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge_urls(_read(spark, sf_dir, "pages"), URL_RULES)
 
@@ -77,6 +82,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_line_dedup": op2_line_dedup,
         "op3_exact_dedup": op3_exact_dedup,
         "op4_quality": op4_quality,
+        "op5_near_dedup": op5_near_dedup,
         "op6_url_filter": op6_url_filter,
         "op7_exact_top_k": op7_exact_top_k,
         "op8_source_mixing": op8_source_mixing,
