@@ -110,7 +110,8 @@ def line_bitmaps(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
 def apply_drops(texts: DataFrame, going: DataFrame, with_text: bool) -> DataFrame:
     drop = F.coalesce("drop", F.array().cast("array<int>"))
     n = F.size(lines_of(F.col("_text"))).cast("long")
-    both = texts.join(going, "doc_id", "left").select("doc_id", "_text", drop.alias("drop"))
+    # merged by id at every size: the table of drops grows with the input, so it is never sent out whole
+    both = texts.join(going.hint("merge"), "doc_id", "left").select("doc_id", "_text", drop.alias("drop"))
     out = both.select("doc_id", n.alias("n_lines"), F.size("drop").cast("long").alias("n_dropped"), "drop", "_text")
     kept = [kept_text(F.col("_text"), F.col("drop")).alias("kept_text")] if with_text else []
     return out.select("doc_id", "n_lines", "n_dropped", F.when(F.size("drop") == 0, F.array(F.col("n_lines").cast("int"))).otherwise(runs(F.col("drop"), F.col("n_lines"))).alias("keep_runs"), *kept)
