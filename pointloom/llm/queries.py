@@ -11,6 +11,7 @@ from .exact_dedup import EXACT_SQL, exact_dedup
 from .line_dedup import LINES_SQL, line_bitmaps
 from .mixing import mix_sql, plan_mix
 from .near_dedup import near_classes
+from .pii import find_personal_data
 from .piece_codec import encode_documents
 from .common import Stage
 from .toxicity import score_documents
@@ -72,6 +73,12 @@ def op8_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return plan_mix(_read(spark, sf_dir, "documents"), Stage(spark, "mix"))
 
 
+def op9_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = find_personal_data(_read(spark, sf_dir, "documents"))
+    counts = [f"n_{k}" for k in ("email", "ip", "card", "phone")]
+    return found.select("doc_id", *counts, F.sha2("base", 256).alias("base_sha256"), "spans")
+
+
 def op10_piece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_documents(_read(spark, sf_dir, "documents"), piece_model())
 
@@ -86,6 +93,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op6_url_filter": op6_url_filter,
         "op7_exact_top_k": op7_exact_top_k,
         "op8_source_mixing": op8_source_mixing,
+        "op9_personal_data": op9_personal_data,
         "op10_piece_codec": op10_piece_codec,
     }
 
