@@ -125,3 +125,18 @@ f AS (SELECT key, max(doc_id) AS keep FROM k WHERE length(key) >= 40 GROUP BY ke
 m AS (SELECT k.doc_id, i, line, f.keep IS NOT NULL AND f.keep <> k.doc_id AS gone FROM k LEFT JOIN f USING (key))
 SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped,
   sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (NOT gone), '')) AS kept_sha256 FROM m GROUP BY doc_id"""
+
+
+def drop_lines(docs: DataFrame, *, min_chars: int = 40, min_docs: int = 5) -> DataFrame:
+    """The rows of docs with the lines gone that line_bitmaps would drop; n_chars, if there, follows the text.
+
+    Every row stays, even one that loses all its lines (its text is then empty).
+    """
+    going = shared_lines(docs, Stage(docs.sparkSession, "lines"), min_chars=min_chars, min_docs=min_docs)
+    joined = docs.join(going.select(F.col("doc_id").alias("_id"), F.col("drop").alias("_drop")).hint("merge"), F.col("doc_id") == F.col("_id"), "left")
+    text = F.when(F.col("_drop").isNull(), F.col("text")).otherwise(kept_text(whole("text"), F.col("_drop")))
+    out = joined.withColumn("text", text)
+    if "n_chars" in docs.columns:
+        n = F.when(F.col("_drop").isNull(), F.col("n_chars")).otherwise(F.length("text").cast(docs.schema["n_chars"].dataType))
+        out = out.withColumn("n_chars", n)
+    return out.select(*docs.columns)

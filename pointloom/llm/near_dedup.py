@@ -283,3 +283,13 @@ def near_classes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     out = member.join(sizes.hint("merge"), "class_id").select("doc_id", "class_id", "class_size", (F.col("doc_id") == F.col("class_id")).alias("representative"))
     lone = docs.where(F.col(id_col).isNull()).select(F.lit(None).cast("long").alias("doc_id"), F.lit(None).cast("long").alias("class_id"), F.lit(1).cast("long").alias("class_size"), F.lit(True).alias("representative"))
     return out.unionByName(lone)
+
+
+def keep_one(docs: DataFrame, *, least: float = SIMILARITY) -> DataFrame:
+    """The rows of docs whose document represents its class, one row for each class; all columns stay.
+
+    Rows without an id stay. docs needs the columns doc_id and text.
+    """
+    classes = near_classes(docs, least=least).where("representative AND doc_id IS NOT NULL").select(F.col("doc_id").alias("_keep")).distinct()
+    kept = docs.join(classes.hint("merge"), F.col("doc_id").cast("long") == F.col("_keep"), "left_semi")
+    return kept.dropDuplicates(["doc_id"]).unionByName(docs.where(F.col("doc_id").isNull()))
