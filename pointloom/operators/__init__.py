@@ -1 +1 @@
-
+"""Operators over point DataFrames."""

@@ -1 +1 @@
-
+"""Composed perception pipelines."""

@@ -1 +1 @@
-
+"""Where points come from and go to."""
