@@ -25,6 +25,9 @@ _STATE = {
     "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "200",
     # many small stores: logs are not allocated ahead
     "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
+    # a store is closed when its task has committed, so memory does not grow with the number of partitions
+    "spark.sql.streaming.stateStore.unloadOnCommit": "true",
+    "spark.sql.streaming.stateStore.rocksdb.writeBufferSizeMB": "8",
     "spark.sql.streaming.noDataMicroBatches.enabled": "false",
 }
 
