@@ -1 +1 @@
-
+"""Frames that arrive as a stream."""
