@@ -108,5 +108,5 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, per_class: i
     picked = picked.groupBy("_id").agg(F.min("y").alias("y"), F.count_distinct("y").alias("_n")).where("_n = 1").select("_id", "y")
     # at most 2 * per_class rows of 12 bytes: the bound of this broadcast is the parameter itself
     return docs.join(F.broadcast(picked), docs["doc_id"] == picked["_id"]).select(
-        docs["doc_id"].alias("doc_id"), whole(docs["text"]).alias("text"), "y"
+        docs["doc_id"].alias("doc_id"), whole(docs["text"]).alias("text"), picked["y"].alias("y")
     )

@@ -49,13 +49,14 @@ def digest(text: Column) -> Column:
     return F.sha2(text, 256)
 
 
-def locator() -> Column:
+def locator(rows: DataFrame) -> Column:
     """Where a row's content is: its file (hashed path) and its place in it."""
-    return F.struct(F.xxhash64("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row"))
+    at = rows.metadataColumn("_metadata")  # also where the table has a column of this name
+    return F.struct(F.xxhash64(at["file_path"]).alias("file"), at["row_index"].alias("row"))
 
 
 def _arrivals(source: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    return source.select(F.unhex(digest(whole(text_col))).alias("digest"), F.struct(F.col(id_col).alias("doc_id"), locator().alias("at")).alias("holder"))
+    return source.select(F.unhex(digest(whole(text_col))).alias("digest"), F.struct(F.col(id_col).alias("doc_id"), locator(source).alias("at")).alias("holder"))
 
 
 def keyed_state(source: DataFrame, stage: Stage, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -99,7 +100,7 @@ def exact_dedup(spark: SparkSession, path: str, *, id_col: str = "doc_id", text_
     # as a pattern, the path may name one file as well as a folder
     state = keyed_state(reader.parquet(f"{path[:-1]}[{path[-1]}]"), stage, id_col=id_col, text_col=text_col)
     hits = stage.table(state.where(F.col("n") > 1), "hits")
-    rows = table.select(F.unhex(digest(whole(text_col))).alias("digest"), F.col(id_col).alias("doc_id"), locator().alias("at"), whole(text_col).alias("_text"))
+    rows = table.select(F.unhex(digest(whole(text_col))).alias("digest"), F.col(id_col).alias("doc_id"), locator(table).alias("at"), whole(text_col).alias("_text"))
     known = maybe_broadcast(hits, 120)
     # full bytes of every hit: equal texts have equal least and greatest members; partial aggregation meets hot groups first
     torn = (

@@ -33,19 +33,21 @@ def lines_of(text: Column) -> Column:
 
 
 def shared_lines(docs: DataFrame, stage: Stage, *, id_col: str = "doc_id", text_col: str = "text", min_chars: int = 40, min_docs: int = 5, slices: int = SLICES) -> DataFrame:
-    """Lines that are to go: (doc_id, drop array<int> of positions from 0), for documents that lose any.
+    """Lines that are to go: (doc_id, t, drop array<int> of positions from 0), for documents that lose any.
+
+    t is a hash of the text, so that rows of one id with different texts lose each its own lines.
 
     A key of at least min_chars code points that at least min_docs documents hold stays in the largest id alone.
     """
     line = F.col("_line")
     long_lines = (
         docs.where(F.col(id_col).isNotNull())
-        .select(F.col(id_col).alias("doc_id"), F.posexplode(lines_of(whole(text_col))).alias("pos", "_line"))
+        .select(F.col(id_col).alias("doc_id"), F.xxhash64(whole(text_col)).alias("t"), F.posexplode(lines_of(whole(text_col))).alias("pos", "_line"))
         .where(F.length(line) >= min_chars)
         .withColumn("_line", F.btrim(line, F.lit(STRIP)))
         .where(F.length(line) >= min_chars)
         .withColumn("_line", line_key(line))
-        .select(F.xxhash64("_line").alias("h1"), F.xxhash64(F.lit(7), "_line").alias("h2"), "doc_id", "pos")
+        .select(F.xxhash64("_line").alias("h1"), F.xxhash64(F.lit(7), "_line").alias("h2"), "doc_id", "t", "pos")
     )
     occurrences = stage.table(long_lines, "occurrences")
     # ranges of hashes, each key cut further by a slice of its documents; sorted by document and position
@@ -62,7 +64,7 @@ def shared_lines(docs: DataFrame, stage: Stage, *, id_col: str = "doc_id", text_
     going = (
         occurrences.join(maybe_broadcast(frequent, 24), ["h1", "h2"])
         .where(F.col("doc_id") != F.col("keep"))
-        .groupBy("doc_id")
+        .groupBy("doc_id", "t")
         .agg(F.array_sort(F.collect_set("pos")).alias("drop"))  # bounded by the document's own lines
     )
     return stage.table(going, "going")
@@ -97,8 +99,8 @@ def line_bitmaps(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     keep_runs is the compressed bitmap: lengths of alternating runs of kept and dropped lines, kept first
     (so [0, 2, 5] drops the first two of seven lines, and [7] drops none). Null and empty texts are one empty
     line, which stays. A document that holds a line twice counts once, and the document that keeps the line
-    keeps each occurrence. Repeated rows of one id are one document when documents are counted, and all
-    lose the same lines' keys at the same positions. A row whose id is null keeps all its lines. Other columns
+    keeps each occurrence. Repeated rows of one id are one document when documents are counted, and
+    each is answered. A row whose id is null keeps all its lines. Other columns
     are ignored; an empty table gives no rows.
     """
     spark = docs.sparkSession
@@ -111,7 +113,7 @@ def apply_drops(texts: DataFrame, going: DataFrame, with_text: bool) -> DataFram
     drop = F.coalesce("drop", F.array().cast("array<int>"))
     n = F.size(lines_of(F.col("_text"))).cast("long")
     # merged by id at every size: the table of drops grows with the input, so it is never sent out whole
-    both = texts.join(going.hint("merge"), "doc_id", "left").select("doc_id", "_text", drop.alias("drop"))
+    both = texts.withColumn("t", F.xxhash64("_text")).join(going.hint("merge"), ["doc_id", "t"], "left").select("doc_id", "_text", drop.alias("drop"))
     out = both.select("doc_id", n.alias("n_lines"), F.size("drop").cast("long").alias("n_dropped"), "drop", "_text")
     kept = [kept_text(F.col("_text"), F.col("drop")).alias("kept_text")] if with_text else []
     return out.select("doc_id", "n_lines", "n_dropped", F.when(F.size("drop") == 0, F.array(F.col("n_lines").cast("int"))).otherwise(runs(F.col("drop"), F.col("n_lines"))).alias("keep_runs"), *kept)
@@ -133,10 +135,13 @@ def drop_lines(docs: DataFrame, *, min_chars: int = 40, min_docs: int = 5) -> Da
     Every row stays, even one that loses all its lines (its text is then empty).
     """
     going = shared_lines(docs, Stage(docs.sparkSession, "lines"), min_chars=min_chars, min_docs=min_docs)
-    joined = docs.join(going.select(F.col("doc_id").alias("_id"), F.col("drop").alias("_drop")).hint("merge"), F.col("doc_id") == F.col("_id"), "left")
-    text = F.when(F.col("_drop").isNull(), F.col("text")).otherwise(kept_text(whole("text"), F.col("_drop")))
-    out = joined.withColumn("text", text)
+    # the row travels as one column, so no name of the input can clash
+    rows = docs.select(F.struct(*docs.columns).alias("row"))
+    joined = rows.join(going.hint("merge"), (F.col("row.doc_id") == going["doc_id"]) & (F.xxhash64(whole("row.text")) == going["t"]), "left")
+    gone = F.col("drop").isNotNull()
+    row = F.col("row").withField("text", F.when(gone, kept_text(whole("row.text"), F.col("drop"))).otherwise(F.col("row.text")))
+    out = joined.select(row.alias("row"), gone.alias("gone"))
     if "n_chars" in docs.columns:
-        n = F.when(F.col("_drop").isNull(), F.col("n_chars")).otherwise(F.length("text").cast(docs.schema["n_chars"].dataType))
-        out = out.withColumn("n_chars", n)
-    return out.select(*docs.columns)
+        n = F.when(F.col("gone"), F.length("row.text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("row.n_chars"))
+        out = out.select(F.col("row").withField("n_chars", n).alias("row"))
+    return out.select("row.*")

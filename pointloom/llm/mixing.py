@@ -143,10 +143,10 @@ def mix(docs: DataFrame, stage: Stage, **options) -> DataFrame:
     id_col, text_col = options.get("id_col", "doc_id"), options.get("text_col", "text")
     plan = plan_mix(docs, stage, **options)
     more = plan.where("copies > 1").groupBy("doc_id", "n_tokens").agg(F.max("copies").alias("_copies")).select(F.col("doc_id").alias("_i"), F.col("n_tokens").alias("_n"), "_copies")
-    names = docs.columns
-    keyed = docs.withColumns({"_mix_id": F.col(id_col), "_mix_n": tokens_of(whole(text_col))})
-    joined = keyed.join(more, F.col("_mix_id").eqNullSafe(F.col("_i")) & (F.col("_mix_n") == F.col("_n")), "left")
-    return joined.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.coalesce("_copies", F.lit(1)).cast("int")))).select(*names)
+    # the row travels as one column, so no name of the input can clash
+    rows = docs.select(F.struct(*docs.columns).alias("row"), F.col(id_col).alias("id"), tokens_of(whole(text_col)).alias("n"))
+    joined = rows.join(more, F.col("id").eqNullSafe(F.col("_i")) & (F.col("n") == F.col("_n")), "left")
+    return joined.select("row", F.explode(F.sequence(F.lit(1), F.coalesce("_copies", F.lit(1)).cast("int")))).select("row.*")
 
 
 def mix_sql(target_entropy: float = 0.9, max_rounds: float = 4.0, seed: int = 11, block_docs: int = BLOCK_DOCS) -> str:

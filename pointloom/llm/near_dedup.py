@@ -290,6 +290,8 @@ def keep_one(docs: DataFrame, *, least: float = SIMILARITY) -> DataFrame:
 
     Rows without an id stay. docs needs the columns doc_id and text.
     """
-    classes = near_classes(docs, least=least).where("representative AND doc_id IS NOT NULL").select(F.col("doc_id").alias("_keep")).distinct()
-    kept = docs.join(classes.hint("merge"), F.col("doc_id").cast("long") == F.col("_keep"), "left_semi")
-    return kept.dropDuplicates(["doc_id"]).unionByName(docs.where(F.col("doc_id").isNull()))
+    classes = near_classes(docs, least=least).where("representative AND doc_id IS NOT NULL").select(F.col("doc_id").alias("keep")).distinct()
+    # the row travels as one column, so no name of the input can clash
+    rows = docs.select(F.struct(*docs.columns).alias("row"), F.col("doc_id").cast("long").alias("id"))
+    kept = rows.join(classes.hint("merge"), F.col("id") == F.col("keep"), "left_semi").dropDuplicates(["id"])
+    return kept.unionByName(rows.where("id IS NULL")).select("row.*")

@@ -1,0 +1,370 @@
+"""Nulls, empty and long texts, repeated rows, empty tables and clashing columns, for every operator."""
+
+import random
+import zlib
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from pointloom.llm import exact_dedup, line_dedup, mixing, near_dedup, pii, piece_codec, quality, topk, toxicity, url_filter
+from pointloom.llm.common import Stage
+from pointloom.llm.queries import piece_model
+
+LONG = "x" * 200_000
+ODD = [(1, None), (2, ""), (3, " \n\t"), (4, "Hello world.\nHello world."), (4, "Hello world.\nHello world."), (5, LONG), (6, "é 😀 日本\u2581 \x00"), (None, "no id"), (7, "123 " * 5000)]
+
+
+def empty(table):
+    return table([(0, "a")]).limit(0)
+
+
+def labels_for(spark, rows):
+    return spark.createDataFrame(rows, "doc_id bigint, quality int, toxic int")
+
+
+# -- encoding ------------------------------------------------------------------------------------------------------------
+
+
+def test_codec_on_odd_texts(table):
+    import sentencepiece
+
+    sp = sentencepiece.SentencePieceProcessor(model_file=piece_model())
+    rows = piece_codec.encode_documents(table(ODD), piece_model(), with_ids=True, with_text=True).collect()
+    assert len(rows) == len(ODD)
+    texts = {k: v or "" for k, v in ODD}
+    for r in rows:
+        assert r.ids == sp.encode(texts[r.doc_id]) and r.decoded == sp.decode(r.ids) and r.n_tokens == len(r.ids)
+    assert piece_codec.encode_documents(empty(table), piece_model()).count() == 0
+
+
+def test_codec_fuzz():
+    import sentencepiece
+
+    sp = sentencepiece.SentencePieceProcessor(model_file=piece_model())
+    c = piece_codec.codec(piece_model())
+    rng = random.Random(5)
+    letters = "aab cde  the \u2581\n\té日梦😀\u0301<s></s>\x00.,!ing tion\r"
+    for _ in range(2000):
+        s = "".join(rng.choice(letters) for _ in range(rng.randint(0, 40)))
+        assert c.encode(s) == sp.encode(s)
+        ids = [rng.choice((rng.randint(0, 31999), rng.randint(0, 260))) for _ in range(rng.randint(0, 12))]
+        assert c.decode(ids) == sp.decode(ids)
+
+
+# -- lines ---------------------------------------------------------------------------------------------------------------
+
+
+def brute_lines(rows, min_chars=40, min_docs=5):
+    strip = " \t\n\x0b\x0c\r"
+    fold = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    key = lambda line: line.strip(strip).translate(fold)
+    held = {}
+    for d, t in rows:
+        for line in (t or "").split("\n"):
+            if d is not None and len(key(line)) >= min_chars:
+                held.setdefault(key(line), set()).add(d)
+    out = []
+    for d, t in rows:
+        lines = (t or "").split("\n")
+        keep = [not (len(held.get(key(x), ())) >= min_docs and max(held[key(x)]) != d) or d is None for x in lines]
+        out.append((d, len(lines), keep.count(False), "\n".join(x for x, k in zip(lines, keep, strict=True) if k)))
+    return sorted(out, key=repr)
+
+
+def test_line_dedup(table):
+    a, b = "A shared line of more than forty characters, yes.", "ÉCOLE: une ligne partagée de plus de quarante lettres"
+    rows = [(i, f"own {i}\n {a.upper() if i % 2 else a}\t\nmid\n{a}\n") for i in range(7)] + [(i, b + "\n" + b) for i in range(10, 16)] + [(20, b.lower()), (21, "\n\n"), *ODD, (30, "short\n" * 50)]
+    docs = table(rows)
+    got = line_dedup.line_bitmaps(docs, with_text=True, slices=3).collect()
+    assert sorted(((r.doc_id, r.n_lines, r.n_dropped, r.kept_text) for r in got), key=repr) == brute_lines(rows)
+    assert all(sum(r.keep_runs) == r.n_lines and sum(r.keep_runs[1::2]) == r.n_dropped for r in got)
+    staged = line_dedup.drop_lines(docs)
+    assert staged.columns == docs.columns
+    assert sorted(((r.doc_id, r.text or "", r.n_chars) for r in staged.collect()), key=repr) == sorted(((d, t, len(t)) for d, _, _, t in brute_lines(rows)), key=repr)
+    assert line_dedup.line_bitmaps(empty(table)).count() == 0
+
+
+# -- exact copies --------------------------------------------------------------------------------------------------------
+
+
+@pytest.mark.parametrize("files_per_batch", [None, 1])
+def test_exact_dedup(spark, table, tmp_path, files_per_batch):
+    rows = [*ODD, *((100 + i, "copy") for i in range(20)), (50, "copy "), (51, "Copy")]
+    table(rows).withColumn("_metadata", F.lit(1)).repartition(3).write.parquet(str(tmp_path / "d"))
+    got = exact_dedup.exact_dedup(spark, str(tmp_path / "d"), files_per_batch=files_per_batch).collect()
+    groups = {}
+    for d, t in rows:
+        groups.setdefault(t or "", []).append(d)
+    keep = {t: max((x for x in ds if x is not None), default=None) for t, ds in groups.items()}
+    want = sorted(((d, keep[t or ""], len(groups[t or ""])) for d, t in rows), key=repr)
+    assert sorted(((r.doc_id, r.keep_id, r.group_size) for r in got), key=repr) == want
+    assert sum(r.kept for r in got) == len(groups) and all(r.doc_id == r.keep_id for r in got if r.kept)
+
+
+def test_exact_dedup_of_nothing(spark, table, tmp_path):
+    empty(table).write.parquet(str(tmp_path / "d"))
+    assert exact_dedup.exact_dedup(spark, str(tmp_path / "d")).count() == 0
+
+
+def test_texts_that_share_a_digest(spark, table, tmp_path, monkeypatch):
+    monkeypatch.setattr(exact_dedup, "digest", lambda text: F.sha2(F.substring(text, 1, 1), 256))
+    table([(1, "aa"), (2, "ab"), (3, "aa")]).write.parquet(str(tmp_path / "d"))
+    got = {r.doc_id: (r.keep_id, r.group_size, r.kept) for r in exact_dedup.exact_dedup(spark, str(tmp_path / "d")).collect()}
+    assert got == {1: (3, 2, False), 2: (2, 1, True), 3: (3, 2, True)}
+
+
+# -- near copies ---------------------------------------------------------------------------------------------------------
+
+
+def edits(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        new = [i]
+        for j, y in enumerate(b, 1):
+            new.append(min(row[j] + 1, new[-1] + 1, row[j - 1] + (x != y)))
+        row = new
+    return row[-1]
+
+
+def test_banded_distance_equals_the_plain_one():
+    rng = random.Random(3)
+    for _ in range(1500):
+        k = rng.choice((2, 4, 50))
+        a = [rng.randint(0, k) for _ in range(rng.randint(0, 30))]
+        b = list(a) if rng.random() < 0.7 else [rng.randint(0, k) for _ in range(rng.randint(0, 30))]
+        for _ in range(rng.randint(0, 8)):
+            i = rng.randint(0, len(b))
+            b[i : i + rng.randint(0, 1)] = [rng.randint(0, k)] * rng.randint(0, 1)
+        limit = rng.randint(0, 20)
+        assert near_dedup.distance(a, b, limit) == (d if (d := edits(a, b)) <= limit else None)
+
+
+def near_rows():
+    rng = random.Random(9)
+    words = lambda n: [f"w{rng.randint(0, 5000)}" for _ in range(n)]
+    rows, n = [], 0
+    for _ in range(25):
+        base = words(rng.randint(30, 250))
+        for _ in range(rng.randint(1, 4)):
+            w = list(base)
+            for _ in range(rng.randint(0, max(1, len(w) // 60))):
+                i = rng.randrange(len(w))
+                w[i : i + rng.randint(0, 1)] = words(rng.randint(0, 2))
+            rows.append((n, " ".join(w)))
+            n += 1
+    passage = " ".join(words(60))
+    rows += [(1000 + i, " ".join(words(40)) + " " + passage + " " + " ".join(words(200))) for i in range(30)]
+    rows += [(2000 + i, rows[0][1]) for i in range(10)]
+    return rows
+
+
+def classes_by_brute_force(rows):
+    """Components of the links 1 - distance / longer length >= 0.8 over shingles that are tuples of words."""
+    texts = sorted({t or "" for _, t in rows})
+    s = []
+    for t in texts:
+        w = t.lower().split()
+        s.append([tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))] if w else [])
+    parent = list(range(len(texts)))
+
+    def find(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    for i in range(len(texts)):
+        for j in range(i):
+            longer = max(len(s[i]), len(s[j]))
+            limit = int(0.2 * longer + 1e-9)
+            if abs(len(s[i]) - len(s[j])) <= limit and len(set(s[i]) & set(s[j])) >= (longer > 0) and near_dedup.distance(s[i], s[j], limit) is not None:
+                parent[find(i)] = find(j)
+    group = {}
+    for d, t in rows:
+        group.setdefault(find(texts.index(t or "")), []).append(d)
+    return {d: min(g) for g in group.values() for d in g}
+
+
+def test_near_classes(table):
+    rows = near_rows() + [(5000, "one two"), (5001, "One  two"), (5002, "one three"), (5003, LONG), (5004, LONG + "y")]
+    want = classes_by_brute_force(rows)
+    docs = table(rows)
+    got = {r.doc_id: r for r in near_dedup.near_classes(docs).collect()}
+    assert {d: r.class_id for d, r in got.items()} == want
+    assert all(r.class_size == sum(c == r.class_id for c in want.values()) and r.representative == (r.class_id == d) for d, r in got.items())
+    kept = near_dedup.keep_one(docs)
+    assert kept.columns == docs.columns and sorted(r.doc_id for r in kept.collect()) == sorted(set(want.values()))
+
+
+def test_near_classes_of_odd_rows(table):
+    got = near_dedup.near_classes(table(ODD)).collect()
+    assert len(got) == len(ODD)
+    by = {r.doc_id: r for r in got}
+    assert by[1].class_id == by[2].class_id == by[3].class_id == 1 and by[4].class_size == 2 and by[None].class_id is None
+    assert sorted((r.doc_id for r in near_dedup.keep_one(table(ODD)).collect()), key=repr) == sorted([None, 1, 4, 5, 6, 7], key=repr)
+    assert near_dedup.near_classes(empty(table)).count() == 0
+
+
+def test_sketches_follow_similarity_and_order():
+    rng = np.random.default_rng(1)
+    s = rng.integers(0, 2**62, 300).astype(np.uint64)
+    t = s.copy()
+    t[100:103] = rng.integers(0, 2**62, 3).astype(np.uint64)
+    assert (near_dedup.sketch(s) == near_dedup.sketch(t)).sum() >= 12
+    assert (near_dedup.sketch(s) == near_dedup.sketch(s[::-1].copy())).sum() <= 1  # the same content in another order
+    repeated = np.concatenate((s, s[:1]))
+    assert (near_dedup.sketch(s) == near_dedup.sketch(repeated)).sum() >= 12  # one repeated shingle changes little
+
+
+# -- classifiers ---------------------------------------------------------------------------------------------------------
+
+
+def learned(spark, table):
+    rng = random.Random(4)
+    word = lambda: "".join(rng.choice(("an", "er", "th", "in", "ou", "st")) for _ in range(rng.randint(1, 4)))
+    rows, labels = list(ODD), [(1, None, None), (2, 1, 0), (2, 0, 1)]
+    for i in range(100, 400):
+        w = [word() for _ in range(60)]
+        toxic, bad = i % 3 == 0, i % 4 == 0
+        if toxic:
+            for _ in range(3):
+                w[rng.randrange(60)] = rng.choice(("grobble", "snarkit")) + word()
+        rows.append((i, " ".join(x.upper() + "!!" if bad else x for x in w) + "."))
+        labels.append((i, int(not bad), int(toxic)))
+    return table(rows), labels_for(spark, labels), {i: (int(i % 4 != 0), int(i % 3 == 0)) for i in range(100, 400)}
+
+
+def test_classifiers(spark, table):
+    docs, labels, truth = learned(spark, table)
+    for which, op in ((1, toxicity.score_documents), (0, quality.score_documents)):
+        rows = op(docs, labels).collect()
+        assert len(rows) == docs.count() and all(0 <= r.score <= 1 for r in rows)
+        for r in rows:
+            assert r.held_out == (r.doc_id is not None and zlib.crc32(str(r.doc_id).encode()) % 5 == 0)
+        held = [(r.predicted, truth[r.doc_id][which]) for r in rows if r.held_out and r.doc_id in truth]
+        assert sum(a == b for a, b in held) / len(held) > 0.9
+        assert op(empty(table), labels).count() == 0
+        assert all(0 <= r.score <= 1 for r in op(docs, labels.limit(0)).collect())
+    kept = quality.keep_good(docs, labels)
+    assert kept.columns == docs.columns and 0 < kept.count() < docs.count()
+
+
+def test_held_out_rows_teach_nothing(spark, table):
+    docs, labels, _ = learned(spark, table)
+    turned = labels.withColumn("toxic", F.when(F.crc32(F.col("doc_id").cast("string")) % 5 == 0, 1 - F.col("toxic")).otherwise(F.col("toxic")))
+    scores = lambda df: {r.doc_id: r.score for r in df.collect()}
+    assert scores(toxicity.score_documents(docs, labels)) == scores(toxicity.score_documents(docs, turned))
+
+
+def test_shared_backoff_gives_unseen_words_no_ratio():
+    m = toxicity.KneserNey({"aaaab": (5, 5), "aaabc": (0, 50), "aaabd": (50, 0)}, {"a": 10, "b": 5})
+    assert m.ratio("zzzzz") == 0.0 and m.ratio("aaabc") > 1 > -1 > m.ratio("aaabd")
+
+
+# -- urls ----------------------------------------------------------------------------------------------------------------
+
+
+def test_urls(spark):
+    rules = [url_filter.Rule("com", "/en/", "block"), url_filter.Rule("example.com", "/en/7", "allow")]
+    cases = {
+        None: ("", "", None, "allow"), "": ("", "", None, "allow"), "no scheme casino": ("", "", None, "block"),
+        "http://WWW.Example.COM/en/71?x": ("www.example.com", "/en/71", "example.com/en/7", "allow"), "http://example.com/en/8#y": ("example.com", "/en/8", "com/en/", "block"),
+        "http://notexample.com/en/7": ("notexample.com", "/en/7", "com/en/", "block"), "ftp://casinos.org": ("casinos.org", "", None, "allow"), "http://a.org?u=casino": ("a.org", "", None, "block"),
+        "http://free.org/free/FREE": ("free.org", "/free/FREE", None, "allow"), "http://free.org/win": ("free.org", "/win", None, "block"), "a://b://c/d": ("b:", "//c/d", None, "allow"),
+    }
+    pages = spark.createDataFrame([(i, u, "h", "r") for i, u in enumerate(cases)], "page_id bigint, url string, host string, rule string")
+    got = {r.page_id: (r.host, r.path, r.rule, r.verdict) for r in url_filter.judge_urls(pages, rules).collect()}
+    assert [got[i] for i in range(len(cases))] == list(cases.values())
+    assert url_filter.judge_urls(pages.limit(0), rules).count() == 0
+
+
+# -- top k ---------------------------------------------------------------------------------------------------------------
+
+
+@pytest.mark.parametrize("query_block", [8192, 7])
+def test_top_k(spark, query_block):
+    rng = np.random.default_rng(6)
+    v = [list(map(float, x)) for x in rng.normal(0, 0.3, (300, 8))]
+    rows = [(i, x) for i, x in enumerate(v)] + [(1000 + i, v[50]) for i in range(20)] + [(50, v[50]), (2000, None), (2001, [1.0, None] + [0.0] * 6), (2002, [float("nan")] * 8), (2003, [1.0, 2.0]), (2050, [3.0, 4.0]), (3000, []), (100, [1e9] * 8)]
+    df = spark.createDataFrame([(*r, 1, "q") for r in rows], "vec_id bigint, embedding array<float>, score int, v string")
+    ok = [(i, [int(np.floor(256 * float(np.float32(c)))) for c in x]) for i, x in rows if x and all(c is not None and np.isfinite(c) for c in x)]
+    want = set()
+    for q in {i for i, _ in ok if i % 50 == 0}:
+        best = {}
+        for qi, qv in ok:
+            if qi == q:
+                for i, x in ok:
+                    if i != q and len(x) == len(qv):
+                        best[i] = max(best.get(i, -(10**40)), sum(a * b for a, b in zip(qv, x, strict=True)))
+        want |= {(q, r + 1, i, s) for r, (i, s) in enumerate(sorted(best.items(), key=lambda e: (-e[1], e[0]))[:5])}
+    got = topk.top_k(df, F.col("vec_id") % 50 == 0, query_block=query_block)
+    assert {(r.query_id, r.rank, r.vec_id, r.score) for r in got.collect()} == want
+    assert topk.top_k(df.limit(0), F.col("vec_id") % 50 == 0).count() == 0
+
+
+# -- mixing --------------------------------------------------------------------------------------------------------------
+
+
+def test_mixing(spark, table):
+    rng = random.Random(8)
+    sizes = {"big": 600, "mid": 90, "small": 12, None: 5, "silent": 2}
+    rows, i = [], 0
+    for s, n in sizes.items():
+        for _ in range(n):
+            rows.append((i, "" if s == "silent" else "w " * rng.randint(1, 30), s))
+            i += 1
+    docs = table(rows + rows[:2])
+    plan = mixing.plan_mix(docs, Stage(spark, "t"), target_entropy=0.75, max_rounds=3.0, block_docs=16).collect()
+    assert len(plan) == len(rows) + 2 and all(r.copies >= 1 for r in plan)
+    taken = {s: sum(r.copies * r.n_tokens for r in plan if r.source == s) for s in sizes}
+    have = {s: sum(r.n_tokens for r in plan if r.source == s) for s in sizes}
+    assert taken["big"] == have["big"] and taken["silent"] == 0
+    assert all(taken[s] <= 3.0 * have[s] + 31 for s in sizes)
+    weights = {r.source: r.weight_ppm for r in plan}
+    total = sum(taken.values())
+    assert all(abs(taken[s] / total - weights[s] / 1e6) < 0.02 for s in sizes)
+    # the part of a round follows the permutation: whoever is taken more often stands before whoever is not
+    for s in sizes:
+        mine = sorted((r for r in plan if r.source == s), key=lambda r: r.before)
+        assert [r.copies for r in mine] == sorted((r.copies for r in mine), reverse=True)
+    out = mixing.mix(docs, Stage(spark, "t"), target_entropy=0.75, max_rounds=3.0, block_docs=16)
+    assert out.columns == docs.columns and {r.doc_id for r in out.select("doc_id").collect()} == {r[0] for r in rows}
+    assert mixing.plan_mix(empty(table), Stage(spark, "t")).count() == 0
+
+
+def test_exponent_reaches_the_entropy(spark):
+    shares = spark.createDataFrame([(0.9,), (0.08,), (0.02,)], "p double")
+    a = mixing.find_exponent(shares, 0.8, 1000.0)
+    p = np.array([0.9, 0.08, 0.02])
+    h = lambda x: -(w := p**x / (p**x).sum()) @ np.log(w)
+    assert h(a) >= 0.8 * np.log(3) - 1e-9 > h(a + 1e-6) - 1e-9
+    b = mixing.find_exponent(shares, 0.999, 5.0)
+    assert (0.02 / 0.9) ** (b - 1) == pytest.approx(5.0, rel=1e-6)
+
+
+# -- personal data -------------------------------------------------------------------------------------------------------
+
+
+def test_personal_data_of_odd_texts(table):
+    from test_contracts import spans
+
+    rng = random.Random(2)
+    letters = "0123456789" * 3 + " .-@+()ab_é😀c%"
+    rows = [*ODD, *((100 + i, "".join(rng.choice(letters) for _ in range(rng.randint(0, 120)))) for i in range(400))]
+    rows += [(900, "4111 1111-1111 1111 a@b.c_d@e.f 1.2.3.4.5.6.7.8 +1 (974) 555-3436 10.0.0.256"), (901, "1" * 30_000), (902, "a" * 30_000), (903, "+1" * 4000), (904, "1 " * 4000)]
+    got = {r.doc_id: r for r in pii.find_personal_data(table(rows)).collect()}
+    for d, t in rows:
+        assert got[d].base == ",".join(f"{n}:{s}:{e}" for s, _, n, e in spans(t))
+    assert pii.find_personal_data(empty(table)).count() == 0
+
+
+def test_trees_add_forms_that_the_rules_miss(table):
+    rng = random.Random(1)
+    rows = []
+    for i in range(300):
+        n = f"{rng.randint(200, 999)}) 555-{rng.randint(1000, 9999)}"
+        rows.append((i, f"please write to jo.{i}@mail{i % 9}.example.com or call +1 ({n} today, {rng.randint(10**6, 10**7)} items, ref {rng.randint(10**9, 10**10)} 2024-05-{i % 28 + 1:02d}"))
+    rows.append((1000, "please write to jo.5 (at) mail3.example.com today"))
+    got = {r.doc_id: r for r in pii.find_personal_data(table(rows)).collect()}
+    assert got[1000].spans == "email:16:43" and got[1000].n_email == 0
+    assert all(got[i].spans == got[i].base for i in range(300))
