@@ -11,7 +11,7 @@ from .functions import morton63
 from .operators import cluster, features, filters, plane, search, stats
 from .operators.stats import XYZ, xyz
 from .plans.pipelines import Config3D, Config25D, pipeline_3d, pipeline_25d, stage_counts
-from .sources import sinks, tables
+from .sources import simstats, sinks, tables
 
 EMB = "SELECT vec_id AS pid, embedding[1] AS x, embedding[2] AS y, embedding[3] AS z FROM embeddings"
 LI = "SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, CAST(l_quantity AS FLOAT) AS x, CAST(l_extendedprice / 1000 AS FLOAT) AS y, CAST(l_discount * 100 + 0.0 AS FLOAT) AS z FROM lineitem"
@@ -68,6 +68,11 @@ def voxel_count(spark, sf):
     return v.agg(F.count(F.lit(1)).alias("n_voxels"), F.sum("n").alias("n_points"), F.max("n").alias("largest"))
 
 
+@_query(f"WITH p AS ({LI}), v AS (SELECT {_vox('x')} AS vx, {_vox('y')} AS vy, {_vox('z')} AS vz, count(*) AS n FROM p GROUP BY 1, 2, 3) SELECT vx, vy, vz, n, row_number() OVER (ORDER BY vx, vy, vz) - 1 AS voxel_id FROM v")
+def voxel_ids(spark, sf):
+    return stats.voxel_ids(tables.from_lineitem(spark, sf), LEAF)
+
+
 @_query(f"WITH p AS ({LI}) SELECT count(*) AS n, min(x) AS min_x, max(x) AS max_x, min(y) AS min_y, max(y) AS max_y, min(z) AS min_z, max(z) AS max_z FROM p")
 def bbox(spark, sf):
     return stats.bounding_box(tables.from_lineitem(spark, sf))
@@ -404,19 +409,34 @@ def grid8_clusters(spark, sf):
     return cluster.grid_clusters(tables.from_embeddings(spark, sf), 0.02).select("pid", "cluster_id", "size")
 
 
+@_query(f"SELECT i % 7 AS run, 'system.cpu.l' || (i % 2 + 1) || '.hits' AS name, CAST(i AS DOUBLE) AS value FROM range(14) t(i)")
+def simulator_stats(spark, sf):
+    i = F.col("id")
+    lines = spark.range(14).select((i % 7).alias("run"), F.concat(F.lit("system.cpu.l"), (i % 2 + 1).cast("string"), F.lit(".hits   "), i.cast("string"), F.lit("  # hits")).alias("value"))
+    return simstats.parse(lines, ["run"])
+
+
 # -- pipelines, frames and metrics -------------------------------------------------------------------------------------
 
-CONFIG_3D = Config3D(leaf=0.02, sor_k=10, sor_radius=RADIUS, normal_radius=0.15, plane_threshold=0.05, plane_iterations=100, plane_seed=7, tolerance=0.08, min_cluster=3)
+CONFIG_3D = Config3D(leaf=0.02, sor_k=10, sor_radius=RADIUS, normal_radius=0.15, plane_threshold=0.05, plane_iterations=PLANE["iterations"], plane_seed=PLANE["seed"], tolerance=0.08, min_cluster=3)
 CONFIG_25D = Config25D(leaf=0.02, cell=0.1, ground_height=0.1, tolerance=0.08, min_cluster=3)
 _DOWN = f"SELECT min(pid) AS pid, CAST(avg(x) AS FLOAT) AS x, CAST(avg(y) AS FLOAT) AS y, CAST(avg(z) AS FLOAT) AS z FROM ({EMB}) t GROUP BY {_vox('x', 0.02)}, {_vox('y', 0.02)}, {_vox('z', 0.02)}"
 
 
-@_query()
+_KEPT = f"SELECT d.* FROM ({_DOWN}) d JOIN ({_sor('sqrt(CAST(d2 AS DOUBLE))', RADIUS).replace(EMB, _DOWN)}) s USING (pid)"
+_BEST = _EXECUTED.replace(EMB, _KEPT)
+_REST = f"{_BEST} SELECT pid, x, y, z FROM e, best JOIN planes USING (t) WHERE NOT ({_NEAR})"
+_CLUSTERED = f"WITH RECURSIVE e AS ({_REST}), n AS ({_pairs(0.08)}), nodes AS (SELECT pid AS node FROM e), k AS (SELECT qid AS u, pid AS v FROM n), {_closure('nodes', 'k')}, c AS (SELECT node AS pid, label AS cluster_id, count(*) OVER (PARTITION BY label) AS size FROM g)"
+
+
+@_query(f"{_CLUSTERED} SELECT pid, cluster_id, size FROM c WHERE size >= 3")
 def pipeline_3d_clusters(spark, sf):
-    return pipeline_3d(tables.from_embeddings(spark, sf), CONFIG_3D)["06_clusters"].select("pid", "cluster_id", "size", "ordinal", "r", "g", "b")
+    return pipeline_3d(tables.from_embeddings(spark, sf), CONFIG_3D)["06_clusters"].select("pid", "cluster_id", "size")
 
 
-@_query()
+@_query(f"""SELECT 0 AS "index", '00_input' AS label, (SELECT count(*) FROM embeddings) AS point_count UNION ALL SELECT 1, '01_downsampled', (SELECT count(*) FROM ({_DOWN}) t) UNION ALL SELECT 2, '02_sor_filtered', (SELECT count(*) FROM ({_KEPT}) t)
+UNION ALL SELECT 3, '03_normals', (SELECT count(*) FROM ({_KEPT}) t) UNION ALL SELECT 4, '04_ransac_inliers', (SELECT count(*) FROM ({_BEST} SELECT pid FROM e, best JOIN planes USING (t) WHERE {_NEAR}) t)
+UNION ALL SELECT 5, '05_ground_plane_removed', (SELECT count(*) FROM ({_REST}) t) UNION ALL SELECT 6, '06_clusters', (SELECT count(*) FROM ({_CLUSTERED} SELECT pid FROM c WHERE size >= 3) t)""")
 def pipeline_3d_stages(spark, sf):
     return stage_counts(pipeline_3d(tables.from_embeddings(spark, sf), CONFIG_3D))
 

@@ -102,3 +102,10 @@ def approx_morton_join(points: DataFrame, radius: float, window: int = 128) -> D
     r = F.lit(radius).cast("float")
     met = q.join(p, "b").where(F.abs(F.col("rk") - F.col("qrk")) <= window)
     return met.withColumn("d2", distance_sq(xyz("q"), xyz())).where(F.col("d2") <= r * r).select("qid", "pid", "d2")
+
+
+def morton_sorted(points: DataFrame, partitions: int | None = None) -> DataFrame:
+    """The cloud laid out in Z-order: ranges of codes, sorted inside each, so that later scans read neighbours together."""
+    coded = with_morton(points)
+    ranged = coded.repartitionByRange(partitions, "morton", "pid") if partitions else coded.repartitionByRange("morton", "pid")
+    return ranged.sortWithinPartitions("morton", "pid")

@@ -92,3 +92,9 @@ def global_rank(rows: DataFrame, order: Sequence[str], bucket: Column, name: str
     ahead = totals.select("_b", F.coalesce(F.sum("_n").over(Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_start"))
     inside = F.row_number().over(Window.partitionBy("_b").orderBy(*order)) - 1
     return rows.withColumn("_in", inside).join(ahead, "_b").withColumn(name, (F.col("_in") + F.col("_start")).cast("long")).drop("_b", "_in", "_start")
+
+
+def voxel_ids(points: DataFrame, leaf: float) -> DataFrame:
+    """Occupied voxels with dense ids from 0 in the order of (vx, vy, vz)."""
+    cells = points.select(*(voxel(F.col(c), leaf).alias(f"v{c}") for c in XYZ)).groupBy("vx", "vy", "vz").agg(F.count(F.lit(1)).alias("n"))
+    return global_rank(cells, ["vx", "vy", "vz"], F.col("vx"), "voxel_id")

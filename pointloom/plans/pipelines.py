@@ -128,3 +128,21 @@ def run_timed(spark: SparkSession, stages: dict[str, DataFrame]) -> DataFrame:
         rows.append((i, label, (time.perf_counter() - t) * 1000, n))
     total = sum(r[2] for r in rows) or 1.0
     return spark.createDataFrame([(*r, r[2] * 100 / total) for r in rows], "index int, label string, ms double, point_count bigint, pct double")
+
+
+def walkthrough(points: DataFrame, ground: int = 1000, seed: int = 42) -> dict[str, DataFrame]:
+    """A small cloud with a synthetic floor just below it, through voxels, plane removal, outlier removal and normals."""
+    box = points.agg(*(f(c).cast("double").alias(f"{n}_{c}") for c in ("x", "y", "z") for n, f in (("min", F.min), ("max", F.max))), (F.max("pid") + 1).alias("_first"))
+    spread = lambda c, s: (F.col(f"min_{c}") + F.rand(s) * (F.col(f"max_{c}") - F.col(f"min_{c}"))).cast("float").alias(c)
+    floor = points.sparkSession.range(0, ground, 1, 1).join(F.broadcast(box)).select((F.col("id") + F.col("_first")).alias("pid"), spread("x", seed), spread("y", seed + 1), (F.col("min_z") - 0.005).cast("float").alias("z"))
+    staging = Staging(points.sparkSession, "walkthrough")
+    out = {"00_input": staging.save(points.select("pid", "x", "y", "z").unionByName(floor))}
+    out["01_downsampled"] = down = staging.save(downsample(out["00_input"], 0.01))
+    plane = staging.save(fit_plane(down, 0.005, 1000, seed))
+    if plane.isEmpty():
+        raise ValueError("no plane found")
+    rest = staging.save(split(down, plane, 0.005).where("NOT is_inlier").drop("is_inlier"))
+    out["04_ground_plane_removed"] = rest
+    out["05_sor_filtered"] = kept = staging.save(outlier_removal(rest, 50, 1.0))
+    out["06_normals"] = kept.join(normals_radius(kept, 0.03), "pid")
+    return out

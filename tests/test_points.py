@@ -185,3 +185,27 @@ def test_elevation_grid_without_frames(spark):
     g = {r.pid: r.is_ground for r in filters.ground_split(filters.elevation_cells(p, 0.5), 0.2, drop_singletons=False).collect()}
     assert g == {0: True, 1: False, 2: True}
     assert filters.ground_split(filters.elevation_cells(p, 0.5), 0.2).count() == 2
+
+
+def test_walkthrough(spark):
+    from pointloom.plans.pipelines import walkthrough
+
+    a = np.random.default_rng(42).normal(0, 0.03, (400, 3))
+    stages = walkthrough(cloud(spark, a))
+    rows = stages["06_normals"].collect()
+    assert stages["00_input"].count() == 1400 and 0 < len(rows) <= stages["04_ground_plane_removed"].count() < stages["01_downsampled"].count()
+    assert all(-r.x * r.nx - r.y * r.ny - r.z * r.nz >= -1e-5 for r in rows)
+
+
+def test_z_order_layout(spark):
+    p = search.morton_sorted(tables.modular_cloud(spark, 2000), 4)
+    codes = [r.morton for r in p.collect()]
+    assert codes == sorted(codes) and len(codes) == 2000
+
+
+def test_hit_rates(spark):
+    from pointloom.sources import simstats
+
+    lines = spark.createDataFrame([("f", "a.hits 30 # x"), ("f", "a.misses 10"), ("f", "---- begin"), ("f", "b.hits 1e1")], "file string, value string")
+    got = simstats.rates(simstats.parse(lines, ["file"]), ["file"]).collect()
+    assert [(r.unit, r.hit_rate) for r in got] == [("a", 0.75)]
