@@ -7,9 +7,12 @@ similarity, not just their common content. Texts that agree in a sketch are cand
 alignment of their shingle sequences inside a band of diagonals, 1 - distance / longer length, and linked from
 0.8 on. Classes are the connected components of the links.
 
-Equal texts are one node from the start. Within a bucket every member is paired with two centres, the least id
-and the least hash of the id, so pairs grow with the members of a bucket and not with their square, and no bucket
-is ever gathered in one task: centres come from a partial aggregation, and pairs from a join that Spark can split.
+Equal texts are one node from the start. Within a bucket every member is first paired with two centres, the least id
+and the least hash of the id. Buckets whose members are not in one component then go on in rounds with more centres,
+eight times as many each round, until all their members outside the largest component have been centres: every two
+texts that meet in a bucket are compared in the end, or were in one component before. So pairs grow with the members
+of a bucket where the texts are alike, and with their square only where they are not. No bucket is ever gathered in
+one task: centres come from a partial aggregation or a hash, and large buckets are joined in parts.
 """
 
 from __future__ import annotations
@@ -20,7 +23,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..shipping import ship
@@ -30,6 +33,10 @@ WORDS = 5
 SIMILARITY = 0.8
 #: Permutations, and labelled shingles kept under each.
 SKETCHES, KEPT = 16, 2
+#: Centres expected in a bucket's first round after the two, and by what they grow each round.
+MORE_CENTRES = 8
+#: Members of a bucket that are joined with its centres in one part, about.
+PART_MEMBERS = 1024
 #: Shingles hashed under all permutations at once; longer texts go piece by piece.
 _PIECE = 32_768
 
@@ -196,32 +203,72 @@ def similar(a: np.ndarray, b: np.ndarray, least: float = SIMILARITY) -> bool:
 def _sketched(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            digests, buckets = [], []
+            digests, sizes, buckets = [], [], []
             for t in b.column(1):
                 text = t.as_py()
                 digests.append(hashlib.sha256(text.encode("utf-8", "surrogatepass")).digest())
-                buckets.append(sketch(shingles(text)).astype(np.int64))
+                found = shingles(text)
+                sizes.append(len(found))
+                buckets.append(sketch(found).astype(np.int64))
             flat = pa.array(np.concatenate(buckets) if buckets else np.zeros(0, np.int64))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(digests, pa.binary()), pa.ListArray.from_arrays(pa.array(np.arange(len(buckets) + 1, dtype=np.int32) * SKETCHES), flat)], ["doc_id", "digest", "buckets"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(digests, pa.binary()), pa.array(sizes, pa.int32()), pa.ListArray.from_arrays(pa.array(np.arange(len(buckets) + 1, dtype=np.int32) * SKETCHES), flat)], ["doc_id", "digest", "size", "buckets"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), whole(text_col).alias("_text"))
-    return rows.mapInArrow(work, "doc_id bigint, digest binary, buckets array<bigint>")
+    return rows.mapInArrow(work, "doc_id bigint, digest binary, size int, buckets array<bigint>")
 
 
-def candidates(nodes: DataFrame) -> DataFrame:
+def _within(a: str, b: str, least: float) -> Column:
+    """Whether the lengths leave two sequences a chance to be similar (as in ``distance``)."""
+    return F.abs(F.col(a) - F.col(b)) <= F.floor(F.lit(1 - least) * F.greatest(a, b) + F.lit(1e-9))
+
+
+def members(nodes: DataFrame) -> DataFrame:
+    """(j, h, node, size, n, c1, c2): nodes in the buckets that hold n > 1, each with the bucket's two centres."""
+    member = nodes.select("node", "size", F.posexplode("buckets").alias("j", "h"))
+    me = F.struct("node", "size")
+    centres = member.groupBy("j", "h").agg(F.count(F.lit(1)).alias("n"), F.min(me).alias("c1"), F.max(me).alias("c3"), F.min(F.struct(F.xxhash64("node", "j").alias("x"), me.alias("c"))).alias("s")).where("n > 1")
+    # least and greatest id are all the centres that three members need
+    centres = centres.select("j", "h", "n", "c1", F.when(F.col("n") <= 3, F.col("c3")).otherwise(F.col("s.c")).alias("c2"))
+    return member.join(centres.hint("merge"), ["j", "h"]).select("j", "h", "node", "size", "n", "c1", "c2")
+
+
+def candidates(met: DataFrame, least: float = SIMILARITY) -> DataFrame:
     """Pairs (a, b), a < b, of nodes that meet in a bucket: each with the bucket's two centres."""
-    member = nodes.select("node", F.posexplode("buckets").alias("j", "h"))
-    centres = member.groupBy("j", "h").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("c1"), F.min(F.struct(F.xxhash64("node", "j").alias("x"), F.col("node").alias("c"))).alias("s")).where("n > 1")
-    met = member.join(centres.select("j", "h", "c1", F.col("s.c").alias("c2")).hint("merge"), ["j", "h"])
-    pairs = met.select("node", F.explode(F.array("c1", "c2")).alias("c")).where("node <> c")
+    pairs = met.select("node", "size", F.explode(F.array("c1", "c2")).alias("c")).select("node", "size", F.col("c.node").alias("c"), F.col("c.size").alias("cs")).where(F.expr("node <> c") & _within("size", "cs", least))
     return pairs.select(F.least("node", "c").alias("a"), F.greatest("node", "c").alias("b")).distinct()
 
 
-def verified(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, stage: Stage, *, id_col: str, text_col: str, least: float = SIMILARITY) -> DataFrame:
-    """The pairs whose texts' shingle sequences are similar enough."""
-    needed = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(nodes.select("node", "digest"), "node")
+def unfinished(met: DataFrame, labels: DataFrame) -> DataFrame:
+    """Members (j, h, node, size, label, n, rest, main) of the buckets that hold several components.
+
+    main is the label of most members, rest the number of the others.
+    """
+    m = met.join(labels.hint("merge"), "node", "left").select("j", "h", "node", "size", F.coalesce("label", "node").alias("label"))
+    kinds = m.groupBy("j", "h", "label").agg(F.count(F.lit(1)).alias("k"))
+    per = kinds.groupBy("j", "h").agg(F.sum("k").alias("n"), F.max(F.struct("k", "label")).alias("most")).where("n > most.k")
+    return m.join(per.select("j", "h", "n", (F.col("n") - F.col("most.k")).alias("rest"), F.col("most.label").alias("main")).hint("merge"), ["j", "h"])
+
+
+def more_candidates(rest: DataFrame, centres: int, turn: int, seen: DataFrame, least: float = SIMILARITY) -> DataFrame:
+    """Pairs that ``seen`` lacks of about ``centres`` members of each bucket with its members of other components.
+
+    Where no more than that are outside the largest component, all of them are centres, and the bucket is finished.
+    """
+    unit = 1 << 30
+    chosen = F.pmod(F.xxhash64("node", "j", F.lit(turn)), F.lit(unit)) < F.lit(float(centres)) / F.col("rest") * unit
+    rows = rest.withColumn("pick", (F.col("label") != F.col("main")) & ((F.col("rest") <= centres) | chosen))
+    parts = F.ceil(F.col("n") / PART_MEMBERS).cast("int")
+    left = rows.where("pick").select("j", "h", F.col("node").alias("c"), F.col("size").alias("cs"), F.col("label").alias("cl"), F.explode(F.sequence(F.lit(0), parts - 1)).alias("part"))
+    right = rows.select("j", "h", "node", "size", "label", "pick", F.pmod(F.xxhash64("node"), parts).cast("int").alias("part"))
+    pairs = right.join(left.hint("merge"), ["j", "h", "part"]).where(F.expr("label <> cl AND (NOT pick OR c < node)") & _within("size", "cs", least))
+    return pairs.select(F.least("node", "c").alias("a"), F.greatest("node", "c").alias("b")).distinct().join(seen.hint("merge"), ["a", "b"], "left_anti")
 
-    def sequences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+
+def sequences(docs: DataFrame, nodes: DataFrame, met: DataFrame, *, id_col: str, text_col: str) -> DataFrame:
+    """(node, s): the shingle sequences of the nodes in ``met``."""
+    needed = met.select("node").distinct().join(nodes.select("node", "digest"), "node")
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             s = [(shingles(t.as_py()) >> _U(32)).astype(np.uint32).tobytes() for t in b.column(1)]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(s, pa.binary())], ["node", "s"])
@@ -229,7 +276,11 @@ def verified(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, stage: Stage,
     texts = docs.select(F.col(id_col).cast("long").alias("node"), whole(text_col).alias("_text"))
     # an id may stand for several rows: the node's own text is the one with its digest
     own = texts.join(needed.hint("merge"), "node").where(F.unhex(F.sha2("_text", 256)) == F.col("digest")).select("node", "_text")
-    seq = stage.table(own.mapInArrow(sequences, "node bigint, s binary").dropDuplicates(["node"]), "sequences")
+    return own.mapInArrow(work, "node bigint, s binary").dropDuplicates(["node"])
+
+
+def verified(pairs: DataFrame, seq: DataFrame, least: float = SIMILARITY) -> DataFrame:
+    """The pairs whose texts' shingle sequences are similar enough."""
     both = pairs.join(seq.select(F.col("node").alias("b"), F.col("s").alias("sb")).hint("merge"), "b").join(seq.select(F.col("node").alias("a"), F.col("s").alias("sa")).hint("merge"), "a")
 
     def align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -241,6 +292,34 @@ def verified(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, stage: Stage,
     return both.select("a", "b", "sa", "sb").mapInArrow(align, "a bigint, b bigint")
 
 
+def merged(labels: DataFrame, links: DataFrame, stage: Stage) -> DataFrame:
+    """The labels after more links: components of the components that they connect."""
+    of = lambda c: labels.select(F.col("node").alias(c), F.col("label").alias(f"l{c}")).hint("merge")
+    between = links.join(of("a"), "a", "left").join(of("b"), "b", "left").select(F.coalesce("la", "a").alias("a"), F.coalesce("lb", "b").alias("b"))
+    up = components(between, stage).select(F.col("node").alias("was"), F.col("label").alias("now"))
+    moved = labels.join(up.hint("merge"), labels["label"] == up["was"], "left").select("node", F.coalesce("now", "label").alias("label"))
+    # what had no link before is its own label
+    fresh = up.join(labels.select(F.col("node").alias("was")).hint("merge"), "was", "left_anti").select(F.col("was").alias("node"), F.col("now").alias("label"))
+    return stage.table(moved.unionByName(fresh), "labels")
+
+
+def linked(met: DataFrame, seq: DataFrame, stage: Stage, least: float = SIMILARITY) -> DataFrame:
+    """(node, label) of the components that all similar pairs of a bucket make."""
+    seen = stage.table(candidates(met, least), "pairs")
+    labels = components(stage.table(verified(seen, seq, least), "links"), stage)
+    met, centres, turn = met.where("n > 3").select("j", "h", "node", "size"), MORE_CENTRES, 0
+    while True:
+        rest = stage.table(unfinished(met, labels), "unfinished")
+        if rest.isEmpty():
+            return labels
+        pairs = stage.table(more_candidates(rest, centres, turn, seen, least), "pairs")
+        links = stage.table(verified(pairs, seq, least), "links")
+        if not links.isEmpty():
+            labels = merged(labels, links, stage)
+        seen = seen.unionByName(pairs)
+        met, centres, turn = rest.where(F.col("rest") > centres).select("j", "h", "node", "size"), centres * MORE_CENTRES, turn + 1
+
+
 def components(links: DataFrame, stage: Stage) -> DataFrame:
     """(node, label) for every linked node: label is the least node it is connected with.
 
@@ -273,10 +352,10 @@ def near_classes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     known = docs.where(F.col(id_col).isNotNull())
     rows = stage.table(_sketched(known, id_col, text_col), "sketches")
     # one node for each text, so copies never meet in buckets; its id is the least of theirs
-    nodes = stage.table(rows.groupBy("digest").agg(F.min(F.struct("doc_id", "buckets")).alias("x")).select(F.col("x.doc_id").alias("node"), "digest", F.col("x.buckets").alias("buckets")), "nodes")
-    pairs = stage.table(candidates(nodes), "pairs")
-    links = stage.table(verified(known, nodes, pairs, stage, id_col=id_col, text_col=text_col, least=least), "links")
-    labels = components(links, stage)
+    nodes = stage.table(rows.groupBy("digest").agg(F.min(F.struct("doc_id", "size", "buckets")).alias("x")).select(F.col("x.doc_id").alias("node"), "digest", F.col("x.size").alias("size"), F.col("x.buckets").alias("buckets")), "nodes")
+    met = stage.table(members(nodes), "members")
+    seq = stage.table(sequences(known, nodes, met, id_col=id_col, text_col=text_col), "sequences")
+    labels = linked(met, seq, stage, least)
     member = rows.select("doc_id", "digest").join(nodes.select("digest", "node").hint("merge"), "digest").select("doc_id", "node").join(labels.hint("merge"), "node", "left")
     member = member.select("doc_id", F.coalesce("label", "node").alias("class_id"))
     sizes = member.groupBy("class_id").agg(F.count(F.lit(1)).alias("class_size"))

@@ -205,6 +205,43 @@ def test_near_classes_of_odd_rows(table):
     assert near_dedup.near_classes(empty(table)).count() == 0
 
 
+def template_rows():
+    """Pairs of alike texts under one template, and one large group of edited copies."""
+    rng = random.Random(4)
+    words = lambda n: [f"w{rng.randint(0, 50000)}" for _ in range(n)]
+
+    def edited(w, n):
+        w = list(w)
+        for i in rng.sample(range(len(w)), n):
+            w[i] = words(1)[0]
+        return " ".join(w)
+
+    template, texts = words(156), []
+    for _ in range(120):
+        w = template + words(48)
+        texts += [" ".join(w), edited(w, 6)]
+    copied = words(204)
+    texts += [edited(copied, rng.randint(4, 8)) for _ in range(150)]
+    rng.shuffle(texts)
+    return list(enumerate(texts))
+
+
+def test_all_members_of_a_bucket_are_compared(table, monkeypatch):
+    """Classes are the components of all similar pairs that meet in a bucket; a part of a bucket is small here."""
+    monkeypatch.setattr(near_dedup, "PART_MEMBERS", 16)
+    rows = template_rows()
+    seq = [near_dedup.shingles(t) for _, t in rows]
+    sketches = np.array([near_dedup.sketch(s) for s in seq])
+    label = list(range(len(rows)))
+    for i in range(len(rows)):
+        for j in np.flatnonzero((sketches[:i] == sketches[i]).any(1)):
+            if label[i] != label[j] and near_dedup.similar(seq[i], seq[j]):
+                a, b = sorted((label[i], label[j]))
+                label = [a if x == b else x for x in label]
+    got = {r.doc_id: r.class_id for r in near_dedup.near_classes(table(rows)).collect()}
+    assert [got[d] for d, _ in rows] == label
+
+
 def test_sketches_follow_similarity_and_order():
     rng = np.random.default_rng(1)
     s = rng.integers(0, 2**62, 300).astype(np.uint64)
