@@ -1,7 +1,7 @@
 """Toxicity by class-conditional Kneser-Ney models over the letters of words.
 
 Two letter n-gram models, of toxic and of ordinary documents, share all their lower orders: only the longest
-contexts are counted by class, and what they have not seen is taken from continuation counts pooled over both
+contexts are counted by class, and what they have not seen is taken from continuation counts over all documents
 (interpolated Kneser-Ney). A rare expression therefore gets the same probability from either model unless
 its class has evidence of its own, and new forms of a known stem inherit the stem's. The lowest order is the
 frequency of letters in the whole corpus.
@@ -33,8 +33,6 @@ ORDER = 5
 CLASS_DISCOUNT, POOLED_DISCOUNT = 2.0, 0.75
 #: A word counts for toxicity by what its ratio exceeds this by (in nats).
 MARGIN = 1.0
-#: Different n-grams kept; beyond it the rarest go, which the discount removes anyway.
-MAX_NGRAMS = 400_000
 #: Words of which a worker remembers the ratio, in either half of its memory.
 CACHE_WORDS = 300_000
 #: Letters a word is split into parts of; longer runs of letters are scored part by part.
@@ -58,9 +56,12 @@ def ngrams(word: str, order: int = ORDER) -> list[str]:
 
 
 class KneserNey:
-    """Ratios of a pair of class models. counts: n-gram -> (ordinary, toxic); letters: corpus frequencies."""
+    """Ratios of a pair of class models. counts: n-gram -> (ordinary, toxic); letters: corpus frequencies.
 
-    def __init__(self, counts: dict[str, tuple[float, float]], letters: dict[str, float], order: int = ORDER, class_discount: float = CLASS_DISCOUNT, pooled_discount: float = POOLED_DISCOUNT):
+    shared: by length, the continuation counts of the shorter n-grams; without it, those of counts.
+    """
+
+    def __init__(self, counts: dict[str, tuple[float, float]], letters: dict[str, float], order: int = ORDER, class_discount: float = CLASS_DISCOUNT, pooled_discount: float = POOLED_DISCOUNT, shared: list[dict[str, int]] | None = None):
         self.counts, self.order, self.class_discount, self.pooled_discount = counts, order, class_discount, pooled_discount
         self.total = [Counter(), Counter()]  # by context: count, and mass that the discount takes
         self.freed = [Counter(), Counter()]
@@ -70,11 +71,13 @@ class KneserNey:
                     self.total[y][g[:-1]] += pair[y]
                     self.freed[y][g[:-1]] += min(pair[y], class_discount)
         # continuation counts, pooled: in how many longer n-grams each shorter one ends
-        self.shared: list[Counter] = [Counter() for _ in range(order)]
-        longer: Iterable[str] = counts
-        for n in range(order - 1, 0, -1):
-            self.shared[n] = Counter(g[1:] for g in longer)
-            longer = self.shared[n]
+        if shared is None:
+            shared = [{} for _ in range(order)]
+            longer: Iterable[str] = counts
+            for n in range(order - 1, 0, -1):
+                shared[n] = Counter(g[1:] for g in longer)
+                longer = shared[n]
+        self.shared = shared
         self.shared_total = [Counter() for _ in range(order)]
         self.shared_kinds = [Counter() for _ in range(order)]
         for n in range(1, order):
@@ -153,6 +156,36 @@ def count_ngrams(sample: DataFrame, order: int = ORDER) -> DataFrame:
     return once.mapInArrow(count, "gram string, y int, fold int, n bigint").groupBy("gram", "y", "fold").agg(F.sum("n").alias("n"))
 
 
+def shared_counts(docs: DataFrame, counted: DataFrame, stage: Stage, order: int = ORDER) -> list[dict[str, int]]:
+    """By length, in how many longer n-grams of all documents each shorter one ends.
+
+    Words and n-grams are made distinct by shuffles. Only the n-grams whose context ends one of ``counted`` (column
+    gram) come back, as no other is asked for: at most the learning rows' contexts times the letters.
+    """
+
+    def distinct_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[str] = set()
+        for b in batches:
+            for t in b.column(0):
+                seen.update(words(t.as_py()))
+                if len(seen) > CACHE_WORDS:
+                    yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string())], ["w"])
+                    seen.clear()
+        yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string())], ["w"])
+
+    found = docs.select(whole("text").alias("t")).mapInArrow(distinct_words, "w string").distinct()
+    padded = found.select(F.concat(F.lit(_START * (order - 1)), "w", F.lit(_END)).alias("p"))
+    longer = stage.table(padded.select(F.explode(F.transform(F.sequence(F.lit(1), F.length("p") - order + 1), lambda i: F.substring("p", i, F.lit(order)))).alias("g")).distinct(), "grams")
+    shared: list[dict[str, int]] = [{} for _ in range(order)]
+    for n in range(order - 1, 0, -1):
+        level = stage.table(longer.groupBy(F.substring("g", 2, n).alias("g")).agg(F.count(F.lit(1)).alias("k")), f"shared{n}")
+        asked = counted.select(F.substring("gram", order - n + 1, n - 1).alias("c")).distinct()
+        rows = level.withColumn("c", F.substring("g", 1, n - 1)).join(asked, "c", "left_semi").select("g", "k").collect()
+        shared[n] = {r["g"]: r["k"] for r in rows}
+        longer = level
+    return shared
+
+
 def letter_counts(docs: DataFrame, text_col: str = "text") -> dict[str, int]:
     """How often each letter occurs in all texts, lower-cased (one row for each different letter)."""
 
@@ -195,8 +228,8 @@ def sigmoid(z: float) -> float:
     return 1 / (1 + math.exp(-z)) if z >= 0 else math.exp(z) / (1 + math.exp(z))
 
 
-def fit(docs: DataFrame, labels: DataFrame, label: str, stage: Stage, per_class: int = PER_CLASS) -> tuple[dict, dict, float, float] | None:
-    """(n-gram counts, letter counts, slope, offset), or None if there are no rows to learn from."""
+def fit(docs: DataFrame, labels: DataFrame, label: str, stage: Stage, per_class: int = PER_CLASS) -> tuple[dict, list, dict, float, float] | None:
+    """(n-gram counts, shared continuation counts, letter counts, slope, offset), or None if there are no rows to learn from."""
     sample = labelled_sample(docs, labels, label, per_class)
     sample = stage.table(sample.select("text", "y", F.pmod(F.xxhash64(F.lit(3), "text"), F.lit(2)).cast("int").alias("fold")), "sample")
     sizes = {r["y"]: r["n"] for r in sample.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
@@ -207,14 +240,15 @@ def fit(docs: DataFrame, labels: DataFrame, label: str, stage: Stage, per_class:
     weight = {int(r["y"]): r["count"] / sizes[int(r["y"])] for r in learn}
     by = lambda y, f: F.sum(F.when((F.col("y") == y) & (F.col("fold") == f), F.col("n")).otherwise(0))
     table = count_ngrams(sample).groupBy("gram").agg(*(by(y, f).alias(f"c{y}{f}") for y in (0, 1) for f in (0, 1)))
-    top = table.withColumn("n", F.col("c00") + F.col("c01") + F.col("c10") + F.col("c11")).orderBy(F.desc("n"), "gram").limit(MAX_NGRAMS).collect()
-    letters = letter_counts(docs)
+    table = stage.table(table, "counts")
+    top = table.collect()  # the n-grams of 2 * PER_CLASS rows at most
+    shared, letters = shared_counts(docs, table, stage), letter_counts(docs)
     half = [{r["gram"]: (r[f"c0{f}"], r[f"c1{f}"]) for r in top if r[f"c0{f}"] or r[f"c1{f}"]} for f in (0, 1)]
     both = {r["gram"]: (r["c00"] + r["c01"], r["c10"] + r["c11"]) for r in top}
-    sent = docs.sparkSession.sparkContext.broadcast((half, letters))  # MAX_NGRAMS n-grams at most
+    sent = docs.sparkSession.sparkContext.broadcast((half, shared, letters))  # the n-grams of 2 * PER_CLASS rows at most
 
     def out_of_fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        models = [KneserNey(counts, sent.value[1]) for counts in sent.value[0]]
+        models = [KneserNey(counts, sent.value[2], shared=sent.value[1]) for counts in sent.value[0]]
         for b in batches:
             rows = list(zip(*(b.column(i).to_pylist() for i in range(3)), strict=True))
             x = [models[1 - fold].feature(text) for text, _, fold in rows]
@@ -222,14 +256,14 @@ def fit(docs: DataFrame, labels: DataFrame, label: str, stage: Stage, per_class:
 
     seen = sample.mapInArrow(out_of_fold, "x double, y int").orderBy("x", "y").collect()  # 2 * PER_CLASS rows at most
     slope, offset = fit_logistic([r["x"] for r in seen], [r["y"] for r in seen], [weight[r["y"]] for r in seen])
-    return both, letters, slope, offset
+    return both, shared, letters, slope, offset
 
 
 def score_documents(docs: DataFrame, labels: DataFrame, *, label: str = "toxic", per_class: int = PER_CLASS, threshold: float = 0.5) -> DataFrame:
     """One row for each document: doc_id, held_out, score (0 to 1, higher: more likely toxic), predicted.
 
     The model learns from labelled rows that are not held out, at most per_class of either label; the
-    letters' frequencies come from all documents. Null and empty texts, and texts without letters, get the
+    letters' frequencies and the continuation counts of shorter n-grams come from all documents. Null and empty texts, and texts without letters, get the
     score of a document without any toxic word. Without learning rows of both labels every score is 0.5
     times the share of the label found (0 without labels). Repeated rows give repeated rows; an id labelled
     twice with different labels is not learned from. Other columns are ignored.
@@ -243,11 +277,11 @@ def score_documents(docs: DataFrame, labels: DataFrame, *, label: str = "toxic",
         share = labels.where(~held_out("doc_id")).agg(F.avg(F.col(label).cast("double"))).first()[0] or 0.0
         scored = rows.select("doc_id", F.lit(0.5 * share).alias("score"))
     else:
-        sent, key = docs.sparkSession.sparkContext.broadcast(model), uuid.uuid4().hex  # bounded by MAX_NGRAMS
+        sent, key = docs.sparkSession.sparkContext.broadcast(model), uuid.uuid4().hex  # bounded by per_class
 
         def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            counts, letters, slope, offset = sent.value
-            m = _model(key, counts, letters)
+            counts, shared, letters, slope, offset = sent.value
+            m = _model(key, counts, shared, letters)
             for b in batches:
                 x = [sigmoid(slope * m.feature(t.as_py()) + offset) for t in b.column(1)]
                 yield pa.RecordBatch.from_arrays([b.column(0), pa.array(x, pa.float64())], ["doc_id", "score"])
@@ -259,9 +293,9 @@ def score_documents(docs: DataFrame, labels: DataFrame, *, label: str = "toxic",
 _MODELS: dict[str, KneserNey] = {}
 
 
-def _model(key: str, counts: dict, letters: dict) -> KneserNey:
+def _model(key: str, counts: dict, shared: list, letters: dict) -> KneserNey:
     """A worker builds a model once and keeps one."""
     if key not in _MODELS:
         _MODELS.clear()
-        _MODELS[key] = KneserNey(counts, letters)
+        _MODELS[key] = KneserNey(counts, letters, shared=shared)
     return _MODELS[key]

@@ -293,6 +293,20 @@ def test_held_out_rows_teach_nothing(spark, table):
     assert scores(toxicity.score_documents(docs, labels)) == scores(toxicity.score_documents(docs, turned))
 
 
+def test_backoff_counts_all_documents(spark, table):
+    docs, labels, _ = learned(spark, table)
+    docs = docs.unionByName(docs.limit(1).withColumn("doc_id", F.lit(-1).cast("long")).withColumn("text", F.lit("toxzk tobzk zzqzk \u00e9\U0001d4b3a"))).localCheckpoint()
+    counts, shared, *_ = toxicity.fit(docs, labels, "toxic", Stage(spark, "t"))
+    longer = {g for r in docs.select("text").collect() for w in toxicity.words(r.text or "") for g in toxicity.ngrams(w)}
+    for n in range(toxicity.ORDER - 1, 0, -1):
+        want = {}
+        for g in longer:
+            want[g[1:]] = want.get(g[1:], 0) + 1
+        asked = {g[toxicity.ORDER - n : -1] for g in counts}
+        assert shared[n] == {g: k for g, k in want.items() if g[:-1] in asked}
+        longer = set(want)
+
+
 def test_shared_backoff_gives_unseen_words_no_ratio():
     m = toxicity.KneserNey({"aaaab": (5, 5), "aaabc": (0, 50), "aaabd": (50, 0)}, {"a": 10, "b": 5})
     assert m.ratio("zzzzz") == 0.0 and m.ratio("aaabc") > 1 > -1 > m.ratio("aaabd")
