@@ -78,6 +78,24 @@ def maybe_broadcast(table: DataFrame, row_bytes: int) -> DataFrame:
     return F.broadcast(table) if n <= BROADCAST_ROWS and n * row_bytes <= BROADCAST_BYTES else table
 
 
+#: Keys that a join sends to all tasks are those that hold more than 1 / HOT_KEYS of all rows: HOT_KEYS rows at most.
+HOT_KEYS = 1000
+
+
+def spread_join(rows: DataFrame, table: DataFrame, on: str, n: str, total: int) -> DataFrame:
+    """``rows`` joined with ``table`` (staged; one row for each key, n: how many of ``rows`` have it; they are ``total``).
+
+    The rows of a key that holds more than total / HOT_KEYS of them stay where they are, and what the table says of it
+    goes to them: by arithmetic there are HOT_KEYS such keys at most. The others are merged by key. Rows without a
+    partner are dropped, as in any inner join.
+    """
+    hot = F.col(n) > max(total // HOT_KEYS, 1)
+    sent = F.broadcast(table.where(hot).withColumn("_hot", F.lit(True)))
+    met = rows.join(sent, on, "left")
+    others = met.where("_hot IS NULL").select(*rows.columns).join(table.where(~hot).hint("merge"), on)
+    return met.where("_hot").drop("_hot").unionByName(others)
+
+
 def held_out(doc_id: str | Column = "doc_id") -> Column:
     """Rows that no classifier learns from: crc32 of the id as text, modulo 5, is 0."""
     c = F.col(doc_id) if isinstance(doc_id, str) else doc_id

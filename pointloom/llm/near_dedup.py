@@ -1,18 +1,19 @@
 """Near-duplicate classes by Order MinHash, verified by banded alignment.
 
-A text is its sequence of five-word shingles. Order MinHash labels each shingle with its occurrence number, takes
-under each of several permutations the few labelled shingles with the least values, and keeps them in the order
-in which they stand in the text; two texts agree in such a sketch with a probability that follows their edit
-similarity, not just their common content. Texts that agree in a sketch are candidates. They are compared by an
-alignment of their shingle sequences inside a band of diagonals, 1 - distance / longer length, and linked from
+A text is its sequence of words; its k-mers are the five-word shingles. Order MinHash labels each shingle with its
+occurrence number, takes under each of several permutations the few labelled shingles with the least values, and
+keeps them in the order in which they stand in the text; two texts agree in such a sketch with a probability that
+follows their edit similarity, not just their common content. Texts that agree in a sketch are candidates. They are
+compared by an alignment of their words inside a band of diagonals, 1 - distance / longer length, and linked from
 0.8 on. Classes are the connected components of the links.
 
-Equal texts are one node from the start. Within a bucket every member is first paired with two centres, the least id
-and the least hash of the id. Buckets whose members are not in one component then go on in rounds with more centres,
-eight times as many each round, until all their members outside the largest component have been centres: every two
-texts that meet in a bucket are compared in the end, or were in one component before. So pairs grow with the members
-of a bucket where the texts are alike, and with their square only where they are not. No bucket is ever gathered in
-one task: centres come from a partial aggregation or a hash, and large buckets are joined in parts.
+Equal texts are one node from the start, named by a digest, so neither copies nor repeated ids meet in buckets. Within
+a bucket every member is first paired with two centres, the least and the greatest digest: the same texts are centres of
+most buckets that they are in. Buckets whose members are not in one component after that are finished exactly: they
+are cut into blocks of bounded size, and inside each pair of blocks one matrix product gives how many words any two
+texts share, which bounds their similarity; what may reach 0.8 and is not in one component yet is aligned. So every
+two texts that meet in a bucket are compared or are in one component anyway, while no list of a bucket's pairs is ever
+made, and no bucket is gathered in one task.
 """
 
 from __future__ import annotations
@@ -27,16 +28,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..shipping import ship
-from .common import Stage, whole
+from .common import Stage, spread_join, whole
 
 WORDS = 5
 SIMILARITY = 0.8
 #: Permutations, and labelled shingles kept under each.
-SKETCHES, KEPT = 16, 2
-#: Centres expected in a bucket's first round after the two, and by what they grow each round.
-MORE_CENTRES = 8
-#: Members of a bucket that are joined with its centres in one part, about.
-PART_MEMBERS = 1024
+SKETCHES, KEPT = 24, 2
+#: Words and members that a block of an unfinished bucket holds, about.
+BLOCK_WORDS, BLOCK_MEMBERS = 1 << 18, 512
+#: Different words whose counts are multiplied at once inside a pair of blocks.
+_COLUMNS = 4096
 #: Shingles hashed under all permutations at once; longer texts go piece by piece.
 _PIECE = 32_768
 
@@ -81,9 +82,8 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _POWERS[0][:n], _POWERS[1][:n]
 
 
-def shingles(text: str, words: int = WORDS) -> np.ndarray:
+def shingles(w: np.ndarray, words: int = WORDS) -> np.ndarray:
     """Hashes of the runs of five words; a shorter text is one shingle, a text without words none."""
-    w = word_hashes(text)
     if not len(w):
         return w
     k = min(words, len(w))
@@ -192,29 +192,41 @@ def _band(rows: dict[int, int], n: int, b: list[int], k: int) -> int | None:
     return d
 
 
+def most_edits(longer: int, least: float = SIMILARITY) -> int:
+    """Edits that leave two sequences similar enough."""
+    return int((1 - least) * longer + 1e-9)
+
+
 def similar(a: np.ndarray, b: np.ndarray, least: float = SIMILARITY) -> bool:
     """Whether 1 - distance / longer length is at least ``least``; two empty sequences are alike."""
     longer = max(len(a), len(b))
-    if not longer:
-        return True
-    return distance(a.tolist(), b.tolist(), int((1 - least) * longer + 1e-9)) is not None
+    return not longer or distance(a.tolist(), b.tolist(), most_edits(longer, least)) is not None
 
 
 def _sketched(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(doc_id, node, size, buckets): node is half of the text's SHA-256, size its words."""
+    kind = docs.schema[id_col].dataType.simpleString()
+
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            digests, sizes, buckets = [], [], []
+            nodes, sizes, buckets = [], [], []
             for t in b.column(1):
                 text = t.as_py()
-                digests.append(hashlib.sha256(text.encode("utf-8", "surrogatepass")).digest())
-                found = shingles(text)
-                sizes.append(len(found))
-                buckets.append(sketch(found).astype(np.int64))
+                w = word_hashes(text)
+                nodes.append(hashlib.sha256(text.encode("utf-8", "surrogatepass")).digest()[:16])
+                sizes.append(len(w))
+                buckets.append(sketch(shingles(w)).astype(np.int64))
             flat = pa.array(np.concatenate(buckets) if buckets else np.zeros(0, np.int64))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(digests, pa.binary()), pa.array(sizes, pa.int32()), pa.ListArray.from_arrays(pa.array(np.arange(len(buckets) + 1, dtype=np.int32) * SKETCHES), flat)], ["doc_id", "digest", "size", "buckets"])
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(buckets) + 1, dtype=np.int32) * SKETCHES), flat)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(nodes, pa.binary()), pa.array(sizes, pa.int32()), lists], ["doc_id", "node", "size", "buckets"])
 
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), whole(text_col).alias("_text"))
-    return rows.mapInArrow(work, "doc_id bigint, digest binary, size int, buckets array<bigint>")
+    rows = docs.select(F.col(id_col).alias("doc_id"), whole(text_col).alias("_text"))
+    return rows.mapInArrow(work, f"doc_id {kind}, node binary, size int, buckets array<bigint>")
+
+
+def node_of(text: Column) -> Column:
+    """The name of a text's node."""
+    return F.substring(F.unhex(F.sha2(text, 256)), 1, 16)
 
 
 def _within(a: str, b: str, least: float) -> Column:
@@ -222,155 +234,231 @@ def _within(a: str, b: str, least: float) -> Column:
     return F.abs(F.col(a) - F.col(b)) <= F.floor(F.lit(1 - least) * F.greatest(a, b) + F.lit(1e-9))
 
 
-def members(nodes: DataFrame) -> DataFrame:
-    """(j, h, node, size, n, c1, c2): nodes in the buckets that hold n > 1, each with the bucket's two centres."""
-    member = nodes.select("node", "size", F.posexplode("buckets").alias("j", "h"))
+def members(nodes: DataFrame, stage: Stage) -> DataFrame:
+    """(h, node, size, n, low, high): nodes in the buckets that hold n > 1, each with the bucket's two centres."""
+    member = nodes.select("node", "size", F.explode("buckets").alias("h"))
     me = F.struct("node", "size")
-    centres = member.groupBy("j", "h").agg(F.count(F.lit(1)).alias("n"), F.min(me).alias("c1"), F.max(me).alias("c3"), F.min(F.struct(F.xxhash64("node", "j").alias("x"), me.alias("c"))).alias("s")).where("n > 1")
-    # least and greatest id are all the centres that three members need
-    centres = centres.select("j", "h", "n", "c1", F.when(F.col("n") <= 3, F.col("c3")).otherwise(F.col("s.c")).alias("c2"))
-    return member.join(centres.hint("merge"), ["j", "h"]).select("j", "h", "node", "size", "n", "c1", "c2")
+    buckets = member.groupBy("h").agg(F.count(F.lit(1)).alias("n"), F.min(me).alias("low"), F.max(me).alias("high")).where("n > 1")
+    buckets = stage.table(buckets, "buckets")
+    return stage.table(spread_join(member, buckets, "h", "n", SKETCHES * nodes.count()), "members")
 
 
 def candidates(met: DataFrame, least: float = SIMILARITY) -> DataFrame:
     """Pairs (a, b), a < b, of nodes that meet in a bucket: each with the bucket's two centres."""
-    pairs = met.select("node", "size", F.explode(F.array("c1", "c2")).alias("c")).select("node", "size", F.col("c.node").alias("c"), F.col("c.size").alias("cs")).where(F.expr("node <> c") & _within("size", "cs", least))
+    pairs = met.select("node", "size", F.explode(F.array("low", "high")).alias("c")).where(F.expr("node <> c.node"))
+    pairs = pairs.select("node", "size", F.col("c.node").alias("c"), F.col("c.size").alias("cs")).where(_within("size", "cs", least))
     return pairs.select(F.least("node", "c").alias("a"), F.greatest("node", "c").alias("b")).distinct()
 
 
-def unfinished(met: DataFrame, labels: DataFrame) -> DataFrame:
-    """Members (j, h, node, size, label, n, rest, main) of the buckets that hold several components.
-
-    main is the label of most members, rest the number of the others.
-    """
-    m = met.join(labels.hint("merge"), "node", "left").select("j", "h", "node", "size", F.coalesce("label", "node").alias("label"))
-    kinds = m.groupBy("j", "h", "label").agg(F.count(F.lit(1)).alias("k"))
-    per = kinds.groupBy("j", "h").agg(F.sum("k").alias("n"), F.max(F.struct("k", "label")).alias("most")).where("n > most.k")
-    return m.join(per.select("j", "h", "n", (F.col("n") - F.col("most.k")).alias("rest"), F.col("most.label").alias("main")).hint("merge"), ["j", "h"])
-
-
-def more_candidates(rest: DataFrame, centres: int, turn: int, seen: DataFrame, least: float = SIMILARITY) -> DataFrame:
-    """Pairs that ``seen`` lacks of about ``centres`` members of each bucket with its members of other components.
-
-    Where no more than that are outside the largest component, all of them are centres, and the bucket is finished.
-    """
-    unit = 1 << 30
-    chosen = F.pmod(F.xxhash64("node", "j", F.lit(turn)), F.lit(unit)) < F.lit(float(centres)) / F.col("rest") * unit
-    rows = rest.withColumn("pick", (F.col("label") != F.col("main")) & ((F.col("rest") <= centres) | chosen))
-    parts = F.ceil(F.col("n") / PART_MEMBERS).cast("int")
-    left = rows.where("pick").select("j", "h", F.col("node").alias("c"), F.col("size").alias("cs"), F.col("label").alias("cl"), F.explode(F.sequence(F.lit(0), parts - 1)).alias("part"))
-    right = rows.select("j", "h", "node", "size", "label", "pick", F.pmod(F.xxhash64("node"), parts).cast("int").alias("part"))
-    pairs = right.join(left.hint("merge"), ["j", "h", "part"]).where(F.expr("label <> cl AND (NOT pick OR c < node)") & _within("size", "cs", least))
-    return pairs.select(F.least("node", "c").alias("a"), F.greatest("node", "c").alias("b")).distinct().join(seen.hint("merge"), ["a", "b"], "left_anti")
-
-
-def sequences(docs: DataFrame, nodes: DataFrame, met: DataFrame, *, id_col: str, text_col: str) -> DataFrame:
-    """(node, s): the shingle sequences of the nodes in ``met``."""
-    needed = met.select("node").distinct().join(nodes.select("node", "digest"), "node")
+def sequences(docs: DataFrame, nodes: DataFrame, met: DataFrame, *, text_col: str) -> DataFrame:
+    """(node, s, buckets): the word hashes of the nodes in ``met``, and the buckets that they are in."""
+    needed = met.select("node").distinct().join(nodes.select("node", "buckets"), "node")
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            s = [(shingles(t.as_py()) >> _U(32)).astype(np.uint32).tobytes() for t in b.column(1)]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(s, pa.binary())], ["node", "s"])
+            s = [word_hashes(t.as_py()).tobytes() for t in b.column(1)]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(s, pa.binary()), b.column(2)], ["node", "s", "buckets"])
 
-    texts = docs.select(F.col(id_col).cast("long").alias("node"), whole(text_col).alias("_text"))
-    # an id may stand for several rows: the node's own text is the one with its digest
-    own = texts.join(needed.hint("merge"), "node").where(F.unhex(F.sha2("_text", 256)) == F.col("digest")).select("node", "_text")
-    return own.mapInArrow(work, "node bigint, s binary").dropDuplicates(["node"])
+    texts = docs.select(whole(text_col).alias("_text")).select(node_of(F.col("_text")).alias("node"), "_text")
+    # copies go before the shuffle meets them; no text travels that no bucket asks for
+    own = texts.join(needed.hint("merge"), "node", "left_semi").groupBy("node").agg(F.first("_text").alias("_text"))
+    return own.join(needed.hint("merge"), "node").select("node", "_text", "buckets").mapInArrow(work, "node binary, s binary, buckets array<bigint>")
 
 
 def verified(pairs: DataFrame, seq: DataFrame, least: float = SIMILARITY) -> DataFrame:
-    """The pairs whose texts' shingle sequences are similar enough."""
-    both = pairs.join(seq.select(F.col("node").alias("b"), F.col("s").alias("sb")).hint("merge"), "b").join(seq.select(F.col("node").alias("a"), F.col("s").alias("sa")).hint("merge"), "a")
+    """The pairs whose texts' words are similar enough."""
+    side = lambda c: seq.select(F.col("node").alias(c), F.col("s").alias(f"s{c}")).hint("merge")
+    both = pairs.join(side("b"), "b").join(side("a"), "a")
 
     def align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            at = lambda i: (np.frombuffer(x.as_py(), np.uint32) for x in b.column(i))
+            at = lambda i: (np.frombuffer(x.as_py(), _U) for x in b.column(i))
             good = [similar(x, y, least) for x, y in zip(at(2), at(3), strict=True)]
             yield b.select([0, 1]).filter(pa.array(good, pa.bool_()))
 
-    return both.select("a", "b", "sa", "sb").mapInArrow(align, "a bigint, b bigint")
+    return both.select("a", "b", "sa", "sb").mapInArrow(align, "a binary, b binary")
 
 
-def merged(labels: DataFrame, links: DataFrame, stage: Stage) -> DataFrame:
-    """The labels after more links: components of the components that they connect."""
-    of = lambda c: labels.select(F.col("node").alias(c), F.col("label").alias(f"l{c}")).hint("merge")
-    between = links.join(of("a"), "a", "left").join(of("b"), "b", "left").select(F.coalesce("la", "a").alias("a"), F.coalesce("lb", "b").alias("b"))
-    up = components(between, stage).select(F.col("node").alias("was"), F.col("label").alias("now"))
-    moved = labels.join(up.hint("merge"), labels["label"] == up["was"], "left").select("node", F.coalesce("now", "label").alias("label"))
-    # what had no link before is its own label
-    fresh = up.join(labels.select(F.col("node").alias("was")).hint("merge"), "was", "left_anti").select(F.col("was").alias("node"), F.col("now").alias("label"))
-    return stage.table(moved.unionByName(fresh), "labels")
+def unfinished(met: DataFrame, labels: DataFrame, stage: Stage) -> DataFrame:
+    """(h, node, label, part, parts) of the buckets of more than three members that hold several components.
+
+    Up to three members are paired by the two centres alone. parts is how many blocks the bucket is cut into, part
+    the member's own.
+    """
+    label = F.coalesce("label", "node").alias("label")
+    m = stage.table(met.where("n > 3").select("h", "node", "size").join(labels.hint("merge"), "node", "left").select("h", "node", "size", label), "labelled")
+    kinds = m.groupBy("h").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("words"), F.min("label").alias("l1"), F.max("label").alias("l2")).where("l1 <> l2")
+    parts = F.greatest(F.ceil(F.col("words") / BLOCK_WORDS), F.ceil(F.col("n") / BLOCK_MEMBERS)).cast("int")
+    kinds = stage.table(kinds.select("h", "n", parts.alias("parts")), "unfinished")
+    left = spread_join(m.select("h", "node", "label"), kinds, "h", "n", m.count())
+    return left.select("h", "node", "label", F.pmod(F.xxhash64("node"), "parts").cast("int").alias("part"), "parts")
+
+
+def shared_words(texts: list[np.ndarray]) -> np.ndarray:
+    """How many words (with multiplicity) any two texts share: a product of their 0-1 rows of occurrence-labelled words."""
+    out = np.zeros((len(texts), len(texts)), np.float32)
+    sizes = [len(t) for t in texts]
+    if not sum(sizes):
+        return out
+    labelled = np.concatenate([_mix(t + _occurrences(t).astype(_U) * _BASE) if len(t) else t for t in texts])
+    owner = np.repeat(np.arange(len(texts)), sizes)
+    _, word, count = np.unique(labelled, return_inverse=True, return_counts=True)
+    order = np.flatnonzero(count > 1)  # a word of one text alone is shared by none
+    column = np.full(len(count), -1, np.int64)
+    column[order] = np.arange(len(order))
+    column = column[word]
+    by = np.argsort(column, kind="stable")
+    by = by[np.searchsorted(column[by], 0) :]
+    for a in range(0, len(order), _COLUMNS):
+        some = by[np.searchsorted(column[by], a) : np.searchsorted(column[by], a + _COLUMNS)]
+        rows = np.zeros((len(texts), min(_COLUMNS, len(order) - a)), np.float32)
+        rows[owner[some], column[some] - a] = 1.0
+        out += rows @ rows.T
+    return out
 
 
-def linked(met: DataFrame, seq: DataFrame, stage: Stage, least: float = SIMILARITY) -> DataFrame:
-    """(node, label) of the components that all similar pairs of a bucket make."""
-    seen = stage.table(candidates(met, least), "pairs")
-    labels = components(stage.table(verified(seen, seq, least), "links"), stage)
-    met, centres, turn = met.where("n > 3").select("j", "h", "node", "size"), MORE_CENTRES, 0
-    while True:
-        rest = stage.table(unfinished(met, labels), "unfinished")
-        if rest.isEmpty():
-            return labels
-        pairs = stage.table(more_candidates(rest, centres, turn, seen, least), "pairs")
-        links = stage.table(verified(pairs, seq, least), "links")
-        if not links.isEmpty():
-            labels = merged(labels, links, stage)
-        seen = seen.unionByName(pairs)
-        met, centres, turn = rest.where(F.col("rest") > centres).select("j", "h", "node", "size"), centres * MORE_CENTRES, turn + 1
+def block_links(h: int, nodes: list[bytes], labels: list[bytes], part: np.ndarray, buckets: np.ndarray, texts: list[np.ndarray], least: float = SIMILARITY) -> list[tuple[bytes, bytes]]:
+    """Pairs of labels to be joined: similar texts of a block, or of two different blocks where there are two.
+
+    A pair is looked at in the first bucket that both texts are in, and only while its labels are not joined.
+    """
+    sizes = np.array([len(t) for t in texts])
+    names = {x: i for i, x in enumerate(dict.fromkeys(labels))}
+    own = np.array([names[x] for x in labels])
+    if len(names) < 2:
+        return []
+    shared = shared_words(texts)
+    up = list(range(len(names)))
+
+    def root(i: int) -> int:
+        while up[i] != i:
+            up[i] = up[up[i]]
+            i = up[i]
+        return i
+
+    two, out, labels_of = len(np.unique(part)) > 1, [], list(names)
+    for i in range(len(nodes)):
+        rest = slice(i + 1, None)
+        longer = np.maximum(sizes[rest], sizes[i])
+        able = (own[rest] != own[i]) & (shared[i, rest] >= longer - np.floor((1 - least) * longer + 1e-9))
+        if two:
+            able &= part[rest] != part[i]
+        for j in np.flatnonzero(able) + i + 1:
+            a, b = root(own[i]), root(own[j])
+            same = buckets[i] == buckets[j]
+            if a != b and buckets[i][same.argmax()] == h and similar(texts[i], texts[j], least):
+                up[max(a, b)] = min(a, b)
+                out.append((labels_of[own[i]], labels_of[own[j]]))
+    return out
+
+
+def finished(rest: DataFrame, seq: DataFrame, least: float = SIMILARITY) -> DataFrame:
+    """Pairs (a, b) of labels that the remaining pairs of the unfinished buckets join."""
+    with_all = rest.join(seq.hint("merge"), "node").withColumn("x", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    blocks = with_all.select("h", F.least("part", "x").alias("lo"), F.greatest("part", "x").alias("hi"), "node", "label", "part", "buckets", "s")
+
+    def work(key: tuple, table: pa.Table) -> pa.Table:
+        cell = lambda c: table.column(c).to_pylist()
+        texts = [np.frombuffer(x, _U) for x in cell("s")]
+        joined = block_links(key[0].as_py(), cell("node"), cell("label"), np.array(cell("part")), np.array(cell("buckets"), np.int64), texts, least)
+        return pa.table({"a": pa.array([x[0] for x in joined], pa.binary()), "b": pa.array([x[1] for x in joined], pa.binary())})
+
+    return blocks.groupBy("h", "lo", "hi").applyInArrow(work, "a binary, b binary").distinct()
 
 
 def components(links: DataFrame, stage: Stage) -> DataFrame:
-    """(node, label) for every linked node: label is the least node it is connected with.
+    """(node, label) for every linked node: label is the least node that it is connected with.
 
-    Each round takes the least label among a node's neighbours and then the label of that label, so
-    paths shorten by more than half; it ends when a round changes nothing.
+    In each round every node points to its least neighbour, or to itself if it is less; pointers are followed to their
+    ends, and the links between the ends, without loops and repeats, are the next round's. At least half of
+    the nodes go with each round.
     """
-    edges = stage.table(links.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(links.select(F.col("b").alias("u"), F.col("a").alias("v"))), "edges")
-    labels = stage.table(edges.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("label")).select(F.col("u").alias("node"), "label"), "labels")
+    pair = F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")
+    edges, labels = stage.table(links.select(*pair).where("a <> b").distinct(), "edges"), None
     while True:
-        near = edges.join(labels.select(F.col("node").alias("v"), "label").hint("merge"), "v").groupBy("u").agg(F.min("label").alias("near"))
-        step = labels.join(near.withColumnRenamed("u", "node").hint("merge"), "node").select("node", F.col("label").alias("was"), F.least("label", "near").alias("l"))
-        # pointers: the label's own label
-        jump = step.join(labels.select(F.col("node").alias("l"), F.col("label").alias("l2")).hint("merge"), "l", "left")
-        new = stage.table(jump.select("node", F.least("l", F.coalesce("l2", "l")).alias("label"), "was"), "labels")
-        if new.where("label <> was").isEmpty():
-            return new.select("node", "label")
-        labels = new.select("node", "label")
+        both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        up = stage.table(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("b")).select("node", F.least("node", "b").alias("label")), "pointers")
+        while True:
+            beyond = up.where("label <> node").select(F.col("node").alias("label"), F.col("label").alias("further")).hint("merge")
+            next_up = stage.table(up.join(beyond, "label", "left").select("node", F.coalesce("further", "label").alias("label"), F.col("further").isNotNull().alias("moved")), "pointers")
+            up = next_up.select("node", "label")
+            if next_up.where("moved").isEmpty():
+                break
+        if labels is None:
+            labels = up
+        else:
+            step = up.select(F.col("node").alias("label"), F.col("label").alias("further")).hint("merge")
+            labels = stage.table(labels.join(step, "label", "left").select("node", F.coalesce("further", "label").alias("label")), "labels")
+        end = lambda c: up.select(F.col("node").alias(c), F.col("label").alias(f"{c}2")).hint("merge")
+        moved = edges.join(end("a"), "a").join(end("b"), "b").select(F.col("a2").alias("a"), F.col("b2").alias("b"))
+        edges = stage.table(moved.where("a <> b").select(*pair).distinct(), "edges")
+        if edges.isEmpty():
+            return labels
+
+
+def linked(met: DataFrame, seq: DataFrame, stage: Stage, least: float = SIMILARITY) -> DataFrame:
+    """(node, label) of the components that all similar pairs of a bucket make."""
+    labels = components(stage.table(verified(candidates(met, least), seq, least), "links"), stage)
+    more = stage.table(finished(unfinished(met, labels, stage), seq, least), "more")
+    if more.isEmpty():
+        return labels
+    up = components(more, stage).select(F.col("node").alias("was"), F.col("label").alias("now"))
+    moved = labels.join(up.hint("merge"), labels["label"] == up["was"], "left").select("node", F.coalesce("now", "label").alias("label"))
+    # what had no link before is its own label
+    fresh = up.join(labels.select(F.col("node").alias("was")).hint("merge"), "was", "left_anti").select(F.col("was").alias("node"), F.col("now").alias("label"))
+    return stage.table(moved.unionByName(fresh), "labels")
+
+
+def _classes(docs: DataFrame, id_col: str, text_col: str, least: float, stage: Stage) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(rows: doc_id, node), (classes: label, class_size, first), (nodes: node, n, class_id, class_size, first).
+
+    first is (has no id, id, node) of the row that represents the class.
+    """
+    ship(docs.sparkSession)
+    rows = stage.table(_sketched(docs, id_col, text_col), "sketches")
+    least_id = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id"))
+    # one node for each text, so copies never meet in buckets; the sketch is the same for all of them
+    nodes = rows.groupBy("node").agg(F.count(F.lit(1)).alias("n"), least_id.alias("id"), F.first("size").alias("size"), F.first("buckets").alias("buckets"))
+    nodes = stage.table(nodes, "nodes")
+    met = members(nodes, stage)
+    seq = stage.table(sequences(docs, nodes, met, text_col=text_col), "sequences")
+    labels = linked(met, seq, stage, least)
+    first = F.struct(F.col("id.none").alias("none"), F.col("id.doc_id").alias("doc_id"), "node").alias("first")
+    named = nodes.select("node", "n", first).join(labels.hint("merge"), "node", "left").withColumn("label", F.coalesce("label", "node"))
+    named = stage.table(named, "named")
+    classes = named.groupBy("label").agg(F.sum("n").alias("class_size"), F.count(F.lit(1)).alias("_texts"), F.min("first").alias("first"))
+    classes = stage.table(classes, "classes")
+    total = nodes.count()
+    of = spread_join(named.select("node", "n", "label"), classes, "label", "_texts", total)
+    return rows.select("doc_id", "node"), classes, stage.table(of.select("node", "n", "class_size", "first"), "of")
 
 
 def near_classes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", least: float = SIMILARITY) -> DataFrame:
     """One row for each row: doc_id, class_id (the least id of its class), class_size (rows), representative.
 
     Null and empty texts count as texts without words, which are alike. Texts of fewer than five words are one
-    shingle, so they are alike only if their words are. Ids are taken as bigint; rows of one id with different
-    texts are classed each by its text; a row without an id is a class of its own (class_id null). One row of each class has
-    representative = true if ids are unique. Other columns are ignored; an empty table gives no rows.
+    shingle, so they meet only if their words are the same. Ids may be of any type that has an order; rows of one id
+    with different texts are classed each by its own text. A row without an id is classed like any other; a class
+    without any id has class_id null. The row of the least id represents its class, and of that id's different texts in
+    one class one does; if that row is repeated, all its copies are marked. Other columns are ignored, whatever their
+    names; an empty table gives no rows.
     """
-    ship(docs.sparkSession)
     stage = Stage(docs.sparkSession, "near")
-    known = docs.where(F.col(id_col).isNotNull())
-    rows = stage.table(_sketched(known, id_col, text_col), "sketches")
-    # one node for each text, so copies never meet in buckets; its id is the least of theirs
-    nodes = stage.table(rows.groupBy("digest").agg(F.min(F.struct("doc_id", "size", "buckets")).alias("x")).select(F.col("x.doc_id").alias("node"), "digest", F.col("x.size").alias("size"), F.col("x.buckets").alias("buckets")), "nodes")
-    met = stage.table(members(nodes), "members")
-    seq = stage.table(sequences(known, nodes, met, id_col=id_col, text_col=text_col), "sequences")
-    labels = linked(met, seq, stage, least)
-    member = rows.select("doc_id", "digest").join(nodes.select("digest", "node").hint("merge"), "digest").select("doc_id", "node").join(labels.hint("merge"), "node", "left")
-    member = member.select("doc_id", F.coalesce("label", "node").alias("class_id"))
-    sizes = member.groupBy("class_id").agg(F.count(F.lit(1)).alias("class_size"))
-    out = member.join(sizes.hint("merge"), "class_id").select("doc_id", "class_id", "class_size", (F.col("doc_id") == F.col("class_id")).alias("representative"))
-    lone = docs.where(F.col(id_col).isNull()).select(F.lit(None).cast("long").alias("doc_id"), F.lit(None).cast("long").alias("class_id"), F.lit(1).cast("long").alias("class_size"), F.lit(True).alias("representative"))
-    return out.unionByName(lone)
+    rows, _, of = _classes(docs, id_col, text_col, least, stage)
+    member = spread_join(rows, of, "node", "n", rows.count())
+    me = F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col("node"))
+    return member.select("doc_id", F.col("first.doc_id").alias("class_id"), "class_size", me.eqNullSafe(F.col("first")).alias("representative"))
 
 
 def keep_one(docs: DataFrame, *, least: float = SIMILARITY) -> DataFrame:
-    """The rows of docs whose document represents its class, one row for each class; all columns stay.
+    """One row of docs for each class of near-duplicates, the one of the least id; all columns stay as they are.
 
-    Rows without an id stay. docs needs the columns doc_id and text.
+    Of repeated representatives (same id and text) one row stays. Nulls, empty and short texts are classed as in
+    ``near_classes``. docs needs the columns doc_id and text; an empty table stays empty.
     """
-    classes = near_classes(docs, least=least).where("representative AND doc_id IS NOT NULL").select(F.col("doc_id").alias("keep")).distinct()
+    _, classes, _ = _classes(docs, "doc_id", "text", least, Stage(docs.sparkSession, "near"))
+    keep = classes.select(F.col("first.doc_id").alias("_id"), F.col("first.node").alias("_node"))
     # the row travels as one column, so no name of the input can clash
-    rows = docs.select(F.struct(*docs.columns).alias("row"), F.col("doc_id").cast("long").alias("id"))
-    kept = rows.join(classes.hint("merge"), F.col("id") == F.col("keep"), "left_semi").dropDuplicates(["id"])
-    return kept.unionByName(rows.where("id IS NULL")).select("row.*")
+    rows = docs.select(F.struct(*docs.columns).alias("row"), F.col("doc_id").alias("id"), node_of(whole("text")).alias("node"))
+    kept = rows.join(keep.hint("merge"), (F.col("node") == F.col("_node")) & F.col("id").eqNullSafe(F.col("_id")), "left_semi")
+    return kept.dropDuplicates(["node", "id"]).select("row.*")
