@@ -17,9 +17,15 @@ _OPEN: list["Stage"] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder every executor sees: ``spark.checkpoint.dir``, or a temporary one where that is unset (tests)."""
+    """The folder every executor sees: ``spark.checkpoint.dir``.
+
+    Where it is unset, a temporary folder takes its place if the whole of Spark runs in this process's machine (tests);
+    on a cluster that would lose rows, so it raises.
+    """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         found = tempfile.mkdtemp(prefix="pointloom-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -34,8 +40,10 @@ def delete(spark: SparkSession, path: str) -> None:
 class Stage:
     """Tables written to the shared folder; they cut lineage and survive the loss of any executor.
 
-    Tables that a returned DataFrame still reads stay until the driver's process
-    ends; ``drop`` removes one earlier.
+    Tables that a returned DataFrame still reads stay until the driver's process ends.
+
+    A join of a staged table by its key has plain shuffles on both sides, so Spark splits the partition of a hot key
+    when it runs (adaptive skew join); a join with an aggregate that is not staged could not be split.
     """
 
     def __init__(self, spark: SparkSession, name: str):
@@ -52,10 +60,6 @@ class Stage:
         df.write.parquet(at)
         return self.spark.read.schema(df.schema).parquet(at)
 
-    def drop(self, table: DataFrame) -> None:
-        for path in {f.rsplit("/", 1)[0] for f in table.inputFiles()}:
-            delete(self.spark, path)
-
     def close(self) -> None:
         delete(self.spark, self.root)
 
@@ -78,24 +82,6 @@ def maybe_broadcast(table: DataFrame, row_bytes: int) -> DataFrame:
     return F.broadcast(table) if n <= BROADCAST_ROWS and n * row_bytes <= BROADCAST_BYTES else table
 
 
-#: Keys that a join sends to all tasks are those that hold more than 1 / HOT_KEYS of all rows: HOT_KEYS rows at most.
-HOT_KEYS = 1000
-
-
-def spread_join(rows: DataFrame, table: DataFrame, on: str, n: str, total: int) -> DataFrame:
-    """``rows`` joined with ``table`` (staged; one row for each key, n: how many of ``rows`` have it; they are ``total``).
-
-    The rows of a key that holds more than total / HOT_KEYS of them stay where they are, and what the table says of it
-    goes to them: by arithmetic there are HOT_KEYS such keys at most. The others are merged by key. Rows without a
-    partner are dropped, as in any inner join.
-    """
-    hot = F.col(n) > max(total // HOT_KEYS, 1)
-    sent = F.broadcast(table.where(hot).withColumn("_hot", F.lit(True)))
-    met = rows.join(sent, on, "left")
-    others = met.where("_hot IS NULL").select(*rows.columns).join(table.where(~hot).hint("merge"), on)
-    return met.where("_hot").drop("_hot").unionByName(others)
-
-
 def held_out(doc_id: str | Column = "doc_id") -> Column:
     """Rows that no classifier learns from: crc32 of the id as text, modulo 5, is 0."""
     c = F.col(doc_id) if isinstance(doc_id, str) else doc_id

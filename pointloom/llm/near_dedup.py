@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..shipping import ship
-from .common import Stage, spread_join, whole
+from .common import Stage, whole
 
 WORDS = 5
 SIMILARITY = 0.8
@@ -240,7 +240,7 @@ def members(nodes: DataFrame, stage: Stage) -> DataFrame:
     me = F.struct("node", "size")
     buckets = member.groupBy("h").agg(F.count(F.lit(1)).alias("n"), F.min(me).alias("low"), F.max(me).alias("high")).where("n > 1")
     buckets = stage.table(buckets, "buckets")
-    return stage.table(spread_join(member, buckets, "h", "n", SKETCHES * nodes.count()), "members")
+    return stage.table(member.join(buckets.hint("merge"), "h"), "members")
 
 
 def candidates(met: DataFrame, least: float = SIMILARITY) -> DataFrame:
@@ -289,8 +289,8 @@ def unfinished(met: DataFrame, labels: DataFrame, stage: Stage) -> DataFrame:
     m = stage.table(met.where("n > 3").select("h", "node", "size").join(labels.hint("merge"), "node", "left").select("h", "node", "size", label), "labelled")
     kinds = m.groupBy("h").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("words"), F.min("label").alias("l1"), F.max("label").alias("l2")).where("l1 <> l2")
     parts = F.greatest(F.ceil(F.col("words") / BLOCK_WORDS), F.ceil(F.col("n") / BLOCK_MEMBERS)).cast("int")
-    kinds = stage.table(kinds.select("h", "n", parts.alias("parts")), "unfinished")
-    left = spread_join(m.select("h", "node", "label"), kinds, "h", "n", m.count())
+    kinds = stage.table(kinds.select("h", parts.alias("parts")), "unfinished")
+    left = m.select("h", "node", "label").join(kinds.hint("merge"), "h")
     return left.select("h", "node", "label", F.pmod(F.xxhash64("node"), "parts").cast("int").alias("part"), "parts")
 
 
@@ -410,7 +410,7 @@ def linked(met: DataFrame, seq: DataFrame, stage: Stage, least: float = SIMILARI
 
 
 def _classes(docs: DataFrame, id_col: str, text_col: str, least: float, stage: Stage) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(rows: doc_id, node), (classes: label, class_size, first), (nodes: node, n, class_id, class_size, first).
+    """(rows: doc_id, node), (classes: label, class_size, first), (nodes: node, class_size, first).
 
     first is (has no id, id, node) of the row that represents the class.
     """
@@ -426,11 +426,10 @@ def _classes(docs: DataFrame, id_col: str, text_col: str, least: float, stage: S
     first = F.struct(F.col("id.none").alias("none"), F.col("id.doc_id").alias("doc_id"), "node").alias("first")
     named = nodes.select("node", "n", first).join(labels.hint("merge"), "node", "left").withColumn("label", F.coalesce("label", "node"))
     named = stage.table(named, "named")
-    classes = named.groupBy("label").agg(F.sum("n").alias("class_size"), F.count(F.lit(1)).alias("_texts"), F.min("first").alias("first"))
+    classes = named.groupBy("label").agg(F.sum("n").alias("class_size"), F.min("first").alias("first"))
     classes = stage.table(classes, "classes")
-    total = nodes.count()
-    of = spread_join(named.select("node", "n", "label"), classes, "label", "_texts", total)
-    return rows.select("doc_id", "node"), classes, stage.table(of.select("node", "n", "class_size", "first"), "of")
+    of = stage.table(named.select("node", "label").join(classes.hint("merge"), "label").select("node", "class_size", "first"), "of")
+    return rows.select("doc_id", "node"), classes, of
 
 
 def near_classes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", least: float = SIMILARITY) -> DataFrame:
@@ -445,7 +444,7 @@ def near_classes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     """
     stage = Stage(docs.sparkSession, "near")
     rows, _, of = _classes(docs, id_col, text_col, least, stage)
-    member = spread_join(rows, of, "node", "n", rows.count())
+    member = rows.join(of.hint("merge"), "node")
     me = F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col("node"))
     return member.select("doc_id", F.col("first.doc_id").alias("class_id"), "class_size", me.eqNullSafe(F.col("first")).alias("representative"))
 
