@@ -1,11 +1,13 @@
 """Exact deduplication as a stateful stream.
 
-The documents arrive as a stream of (digest, id, locator). A keyed state on disk (the RocksDB state store)
-keeps for each digest, without expiry, the identifier that stays, a locator of its content and how many rows
-came; every batch updates it. The state's updates go to a table in the shared folder, keyed by batch, so that
-a batch that is run again replaces its own output. Digests that were hit more than once are then checked over
-the full bytes: the rows' whole texts are compared, and should two texts ever share a digest, the text itself
-becomes part of the key.
+The documents arrive as a stream of (digest, id, locator), in micro-batches of bounded bytes. A keyed state on disk (the
+RocksDB state store) keeps for each digest, without expiry, the identifier that stays, a locator of its content and
+how many rows came; every batch updates it. The state's updates go to a table in the shared folder, keyed by batch, so
+that a batch that is run again replaces its own output. With a state folder that the caller names, checkpoint, state
+and updates stay there, and a later call reads only files that are new since.
+
+Hits are checked over the full bytes: the content that a digest's locator names is read, and every row that came with
+the digest is held against it. Should two texts ever share a digest, the text itself becomes part of the key.
 """
 
 from __future__ import annotations
@@ -16,8 +18,10 @@ from collections.abc import Iterator
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Stage, maybe_broadcast, whole
+from .common import Stage, exists, maybe_broadcast, whole
 
+#: Bytes of input that a micro-batch takes at most (a file is never split over batches).
+BATCH_BYTES = 256 << 30
 _STATE = {
     "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
     "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
@@ -59,60 +63,68 @@ def _arrivals(source: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return source.select(F.unhex(digest(whole(text_col))).alias("digest"), F.struct(F.col(id_col).alias("doc_id"), locator(source).alias("at")).alias("holder"))
 
 
-def keyed_state(source: DataFrame, stage: Stage, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Runs the stream over all there is and returns its state: digest, holder (largest id, with locator), n.
+def keyed_state(source: DataFrame, at: str, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Runs the stream over all that is new and returns its state: digest, holder (largest id, with locator), n.
 
-    source: a streaming DataFrame over files.
+    source: a streaming DataFrame over files. at: the folder of checkpoint, state and updates, old or new.
     """
-    spark = source.sparkSession
-    out = stage.path("updates")
+    spark, out = source.sparkSession, f"{at}/updates"
     state = _arrivals(source, id_col, text_col).groupBy("digest").agg(F.max("holder").alias("holder"), F.count(F.lit(1)).alias("n"))
 
     def put(updates: DataFrame, batch: int) -> None:
         updates.write.mode("overwrite").parquet(f"{out}/batch={batch}")
 
     with _settings(spark, _STATE):
-        run = state.writeStream.outputMode("update").option("checkpointLocation", stage.path("checkpoint")).trigger(availableNow=True).foreachBatch(put).start()
+        run = state.writeStream.outputMode("update").option("checkpointLocation", f"{at}/checkpoint").trigger(availableNow=True).foreachBatch(put).start()
         run.awaitTermination()
     kind = "digest binary, holder struct<doc_id: {}, at: struct<file: bigint, row: bigint>>, n bigint".format(source.schema[id_col].dataType.simpleString())
-    if not any(p["numInputRows"] for p in run.recentProgress):
+    if not exists(spark, out):
         return spark.createDataFrame([], kind)
     updates = spark.read.schema(kind + ", batch int").parquet(out)
-    if len({p["batchId"] for p in run.recentProgress}) == 1:
+    if len(updates.select("batch").distinct().take(2)) < 2:
         return updates.drop("batch")
     # holder and n only grow, so the last update of a digest has the largest of both
     return updates.groupBy("digest").agg(F.max("holder").alias("holder"), F.max("n").alias("n"))
 
 
-def exact_dedup(spark: SparkSession, path: str, *, id_col: str = "doc_id", text_col: str = "text", files_per_batch: int | None = None) -> DataFrame:
+def torn_digests(rows: DataFrame, hits: DataFrame) -> DataFrame:
+    """Digests of hits that stand for two texts: the content at the locator is held against all rows that came with it.
+
+    Rows of a digest are reduced to their least and greatest text ahead of the shuffle, which meets hot groups first.
+    """
+    known = maybe_broadcast(hits, 120)
+    content = rows.select("at", "_text").join(known.select("digest", F.col("holder.at").alias("at")), "at").select("digest", F.col("_text").alias("_content"))
+    came = rows.select("digest", "_text").join(known.select("digest"), "digest", "left_semi").groupBy("digest").agg(F.min("_text").alias("low"), F.max("_text").alias("high"))
+    return came.join(content.hint("merge"), "digest").where("low <> _content OR high <> _content").select("digest")
+
+
+def exact_dedup(spark: SparkSession, path: str, *, id_col: str = "doc_id", text_col: str = "text", files_per_batch: int | None = None, bytes_per_batch: int | None = BATCH_BYTES, state_dir: str | None = None) -> DataFrame:
     """Deduplicates the documents of a Parquet table by their whole texts, as a stream of its files.
 
     One row for each document, dropped ones too: doc_id, keep_id, group_size, kept, text_sha256. Texts are equal
     when their bytes are; null counts as empty. Of equal texts the largest id stays; of repeated rows with that
     id, the one that lies last (by file hash and row) is kept, so exactly one row of a group has kept = true. A
-    null id is the smallest. An empty table gives no rows.
+    null id is the smallest. Other columns are ignored, whatever their names. An empty table gives no rows.
+
+    state_dir: a folder for the state, in a store that all executors share. A call with the same folder goes on from
+    it: files that an earlier call read are not read again by the stream, and no file may have gone since.
     """
     stage = Stage(spark, "exact")
     table = spark.read.parquet(path)
     reader = spark.readStream.schema(table.schema)
     if files_per_batch:
         reader = reader.option("maxFilesPerTrigger", files_per_batch)
+    elif bytes_per_batch:
+        reader = reader.option("maxBytesPerTrigger", bytes_per_batch)
     # as a pattern, the path may name one file as well as a folder
-    state = keyed_state(reader.parquet(f"{path[:-1]}[{path[-1]}]"), stage, id_col=id_col, text_col=text_col)
+    state = keyed_state(reader.parquet(f"{path[:-1]}[{path[-1]}]"), state_dir or stage.path("state"), id_col=id_col, text_col=text_col)
     hits = stage.table(state.where(F.col("n") > 1), "hits")
     rows = table.select(F.unhex(digest(whole(text_col))).alias("digest"), F.col(id_col).alias("doc_id"), locator(table).alias("at"), whole(text_col).alias("_text"))
-    known = maybe_broadcast(hits, 120)
-    # full bytes of every hit: equal texts have equal least and greatest members; partial aggregation meets hot groups first
-    torn = (
-        rows.select("digest", "_text").join(known.select("digest"), "digest", "left_semi")
-        .groupBy("digest").agg((F.min("_text") != F.max("_text")).alias("torn")).where("torn")
-    )
-    if not stage.table(torn.select("digest"), "torn").isEmpty():
+    if not stage.table(torn_digests(rows, hits), "torn").isEmpty():
         return _by_bytes(rows)
-    joined = rows.select("digest", "doc_id", "at").join(known, "digest", "left")
-    keep = F.coalesce(F.col("holder.doc_id"), F.col("doc_id"))
+    joined = rows.select("digest", "doc_id", "at").join(maybe_broadcast(hits, 120), "digest", "left")
     return joined.select(
-        "doc_id", keep.alias("keep_id"), F.coalesce("n", F.lit(1)).cast("long").alias("group_size"),
+        "doc_id", F.when(F.col("holder").isNull(), F.col("doc_id")).otherwise(F.col("holder.doc_id")).alias("keep_id"), F.coalesce("n", F.lit(1)).cast("long").alias("group_size"),
         (F.col("holder").isNull() | (F.col("holder") == F.struct(F.col("doc_id"), F.col("at")))).alias("kept"),
         F.lower(F.hex("digest")).alias("text_sha256"),
     )

@@ -5,8 +5,10 @@ bisection: the largest a whose weights reach the target entropy, raised where th
 more often than allowed. The budget is the smallest at which every source is used up at least once, so no
 document is lost: the largest source is taken once and the others in whole rounds plus a part of one more.
 
-A source's documents are laid out as a permutation: they are dealt by hash over blocks, the blocks follow one
-another, and inside a block the hash orders them. What a source's budget leaves after its whole rounds is spent
+A source's documents are laid out as a permutation: they are dealt by a hash of id and text over blocks, the blocks
+follow one another, and inside a block the hash orders them. Rows that are equal in all of this change places freely, so
+they are counted before anything else and take part as one row with a weight; rows that share an id but not the text
+lie in different blocks. What a source's budget leaves after its whole rounds is spent
 along that order, document by document, until the tokens run out. Blocks are of bounded size whatever the
 source's, so running sums are taken within blocks and over block totals, never over a source as a whole.
 """
@@ -27,6 +29,8 @@ BLOCK_DOCS = 2048
 SUPER_BITS = 10
 #: The interval of the exponent is halved this many times.
 HALVINGS = 30
+#: Seed of the permutations.
+SEED = 11
 #: Exponents tried in one pass over the shares: HALVINGS is a multiple of its logarithm.
 _AT_ONCE = 32
 
@@ -36,9 +40,9 @@ def tokens_of(text: Column) -> Column:
     return F.regexp_count(text, F.lit(WORD)).cast("long")
 
 
-def order_key(doc_id: Column, seed: int) -> Column:
-    """A document's place in its source's permutation: 60 bits of a digest of seed and id."""
-    return F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), F.coalesce(doc_id.cast("string"), F.lit("")))), 1, 15), 16, 10).cast("long")
+def order_key(doc_id: Column, text: Column, seed: int) -> Column:
+    """A document's place in its source's permutation: 60 bits of a digest of seed, id and text."""
+    return F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), F.coalesce(doc_id.cast("string"), F.lit("")), F.md5(text))), 1, 15), 16, 10).cast("long")
 
 
 def _sums(shares: DataFrame, exponents: list[float]) -> list[tuple[float, float, float]]:
@@ -85,23 +89,24 @@ def find_exponent(shares: DataFrame, target_entropy: float, max_rounds: float) -
     return min(1.0, max(by_entropy, by_rounds))
 
 
-def plan_mix(docs: DataFrame, stage: Stage, *, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", target_entropy: float = 0.9, max_rounds: float = 4.0, seed: int = 11, block_docs: int = BLOCK_DOCS) -> DataFrame:
+def plan_mix(docs: DataFrame, stage: Stage, *, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", target_entropy: float = 0.9, max_rounds: float = 4.0, seed: int = SEED, block_docs: int = BLOCK_DOCS, with_key: bool = False) -> DataFrame:
     """One row for each document: doc_id, source, n_tokens, weight_ppm, block, before, copies.
 
     copies (1 or more) is how often the document is taken; block and before (tokens of the source's order
     ahead of it) are its place in the source's permutation; weight_ppm is the source's weight in millionths.
     Null sources form a source of their own. Null and empty texts have 0 tokens and are taken as their place
     in the order says. A source without tokens is taken once. Repeated rows are separate documents that lie
-    next to each other. An empty table gives no rows.
+    next to each other; rows without an id are placed by their texts. Other columns are ignored. An empty table gives
+    no rows.
     """
     rows = stage.table(
         docs.select(
             F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), tokens_of(whole(text_col)).alias("n_tokens"),
-            order_key(F.col(id_col), seed).alias("_h"),
-        ),
+            order_key(F.col(id_col), whole(text_col), seed).alias("_h"),
+        ).groupBy("doc_id", "source", "n_tokens", "_h").agg(F.count(F.lit(1)).alias("_m")),
         "tokens",
     )
-    sources = stage.table(rows.groupBy("source").agg(F.sum("n_tokens").alias("tokens"), F.count(F.lit(1)).alias("docs")), "sources")
+    sources = stage.table(rows.groupBy("source").agg(F.sum(F.col("n_tokens") * F.col("_m")).alias("tokens"), F.sum("_m").alias("docs")), "sources")
     total = sources.agg(F.sum("tokens")).first()[0] or 0
     shares = sources.where("tokens > 0").select("source", "tokens", "docs", (F.col("tokens") / F.lit(float(max(total, 1)))).alias("p"))
     a = find_exponent(shares, target_entropy, max_rounds)
@@ -119,15 +124,18 @@ def plan_mix(docs: DataFrame, stage: Stage, *, id_col: str = "doc_id", source_co
     # the plan has a row for each source: sent to all if that is small, else joined by source
     dealt = rows.join(_sized(plan), rows["source"].eqNullSafe(plan["_source"])).withColumn("block", F.pmod(F.col("_h"), F.col("blocks"))).drop("_source")
     inside = Window.partitionBy("source", "block").orderBy("_h", "doc_id", "n_tokens").rowsBetween(Window.unboundedPreceding, -1)
-    ranked = dealt.withColumn("_in", F.coalesce(F.sum("n_tokens").over(inside), F.lit(0)))
+    ranked = dealt.withColumn("_in", F.coalesce(F.sum(F.col("n_tokens") * F.col("_m")).over(inside), F.lit(0)))
     # starts of the blocks: running totals inside groups of blocks, and over the groups' totals
-    blocks = stage.table(dealt.groupBy("source", "block").agg(F.sum("n_tokens").alias("_n")).withColumn("_g", F.shiftright("block", SUPER_BITS)), "blocks")
+    blocks = stage.table(dealt.groupBy("source", "block").agg(F.sum(F.col("n_tokens") * F.col("_m")).alias("_n")).withColumn("_g", F.shiftright("block", SUPER_BITS)), "blocks")
     ahead = lambda keys, by: F.coalesce(F.sum("_n").over(Window.partitionBy(*keys).orderBy(by).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     groups = blocks.groupBy("source", "_g").agg(F.sum("_n").alias("_n")).select(F.col("source").alias("_gs"), F.col("_g").alias("_gg"), ahead(["source"], "_g").alias("_base"))
     inner = blocks.select(F.col("source").alias("_s"), F.col("block").alias("_k"), "_g", ahead(["source", "_g"], "block").alias("_off"))
     starts = stage.table(inner.join(groups, F.col("_s").eqNullSafe(F.col("_gs")) & (F.col("_g") == F.col("_gg"))).select("_s", "_k", (F.col("_base") + F.col("_off")).alias("_start")), "starts")
-    placed = ranked.join(_sized(starts), ranked["source"].eqNullSafe(starts["_s"]) & (ranked["block"] == starts["_k"])).withColumn("before", F.col("_start") + F.col("_in"))
-    return placed.select("doc_id", "source", "n_tokens", "weight_ppm", "block", "before", (F.col("whole") + (F.col("before") < F.col("rest")).cast("long")).alias("copies"))
+    placed = ranked.join(_sized(starts), ranked["source"].eqNullSafe(starts["_s"]) & (ranked["block"] == starts["_k"]))
+    # equal rows follow one another
+    each = placed.withColumn("_i", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_m") - 1))).withColumn("before", F.col("_start") + F.col("_in") + F.col("_i") * F.col("n_tokens"))
+    out = each.select("doc_id", "source", "n_tokens", "weight_ppm", "block", "before", (F.col("whole") + (F.col("before") < F.col("rest")).cast("long")).alias("copies"), "_h")
+    return out if with_key else out.drop("_h")
 
 
 def _sized(table: DataFrame, most: int = 50_000) -> DataFrame:
@@ -138,23 +146,24 @@ def _sized(table: DataFrame, most: int = 50_000) -> DataFrame:
 def mix(docs: DataFrame, stage: Stage, **options) -> DataFrame:
     """The mixture itself: the input's rows, each as often as its plan says. Columns are those of docs.
 
-    Every row stays at least once. Repeated rows of one id are all taken as often as the most often taken of them.
+    Every row stays at least once, those without id, source or text too. Rows that are equal in id, source and text are
+    all taken as often as the most often taken of them. Other columns stay, whatever their names; an empty table stays empty.
     """
-    id_col, text_col = options.get("id_col", "doc_id"), options.get("text_col", "text")
-    plan = plan_mix(docs, stage, **options)
-    more = plan.where("copies > 1").groupBy("doc_id", "n_tokens").agg(F.max("copies").alias("_copies")).select(F.col("doc_id").alias("_i"), F.col("n_tokens").alias("_n"), "_copies")
+    id_col, source_col, text_col = (options.get(f"{c}_col", d) for c, d in (("id", "doc_id"), ("source", "source"), ("text", "text")))
+    plan = plan_mix(docs, stage, **options, with_key=True)
+    more = plan.where("copies > 1").groupBy(F.col("_h").alias("_k"), F.col("doc_id").alias("_i"), F.col("source").alias("_s")).agg(F.max("copies").alias("_copies"))
     # the row travels as one column, so no name of the input can clash
-    rows = docs.select(F.struct(*docs.columns).alias("row"), F.col(id_col).alias("id"), tokens_of(whole(text_col)).alias("n"))
-    joined = rows.join(more, F.col("id").eqNullSafe(F.col("_i")) & (F.col("n") == F.col("_n")), "left")
+    rows = docs.select(F.struct(*docs.columns).alias("row"), F.col(id_col).alias("id"), F.col(source_col).alias("s"), order_key(F.col(id_col), whole(text_col), options.get("seed", SEED)).alias("k"))
+    joined = rows.join(stage.table(more, "more").hint("merge"), (F.col("k") == F.col("_k")) & F.col("id").eqNullSafe(F.col("_i")) & F.col("s").eqNullSafe(F.col("_s")), "left")
     return joined.select("row", F.explode(F.sequence(F.lit(1), F.coalesce("_copies", F.lit(1)).cast("int")))).select("row.*")
 
 
-def mix_sql(target_entropy: float = 0.9, max_rounds: float = 4.0, seed: int = 11, block_docs: int = BLOCK_DOCS) -> str:
+def mix_sql(target_entropy: float = 0.9, max_rounds: float = 4.0, seed: int = SEED, block_docs: int = BLOCK_DOCS) -> str:
     """The plan in DuckDB SQL over the view ``documents``."""
     return f"""
 WITH RECURSIVE t AS (
   SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '{WORD}')) AS n_tokens,
-    CAST('0x' || substr(md5('{seed}:' || coalesce(CAST(doc_id AS VARCHAR), '')), 1, 15) AS BIGINT) AS h FROM documents),
+    CAST('0x' || substr(md5('{seed}:' || coalesce(CAST(doc_id AS VARCHAR), '') || ':' || md5(coalesce(text, ''))), 1, 15) AS BIGINT) AS h FROM documents),
 s AS (SELECT source, sum(n_tokens)::BIGINT AS tokens, count(*) AS docs FROM t GROUP BY source),
 p AS (SELECT list(tokens / (SELECT sum(tokens) FROM s)::DOUBLE ORDER BY source) AS ps FROM s WHERE tokens > 0),
 q AS (SELECT ps, list_max(ps) AS top, len(ps) AS n, {target_entropy} * ln(len(ps)) - 1e-12 AS goal FROM p),

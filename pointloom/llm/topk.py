@@ -6,8 +6,12 @@ and the inner product is (|q|^2 + |x|^2 - d(q,x)^2) / 2: the largest of these lo
 bound of the score. Rows are evaluated in the order of that bound until the k-th best score found exceeds
 every bound left. Nothing is approximate: bounds carry a slack above their rounding error.
 
-Queries go out in blocks of fixed size, one broadcast at a time, each against all rows; the rows are never
-shuffled or collected, and only k rows for each query and partition meet in the final ranking.
+Queries go out in blocks of fixed size, one broadcast at a time, each against all rows; a block's findings are written
+before the next goes out and its broadcast is freed, so neither plan nor memory grows with their number. The rows are
+never shuffled or collected, and only k rows for each query and partition meet in the final ranking.
+
+How much the bounds spare depends on the data: where all distances are alike, as among random directions in many
+dimensions, no pivot tells rows apart. ``elimination`` counts what was evaluated.
 """
 
 from __future__ import annotations
@@ -25,9 +29,9 @@ from .common import Stage
 #: Rows of a query block: the broadcast is QUERY_BLOCK vectors at most, whatever the input's size.
 QUERY_BLOCK = 8192
 #: Pivots; drawn from the rows by hash, never more than this.
-PIVOTS = 24
+PIVOTS = 64
 #: Candidates evaluated at once for a query before the bound is looked at again.
-STEP = 256
+STEP = 64
 #: Queries whose bounds are held in memory at once.
 QUERY_TILE = 128
 
@@ -38,15 +42,20 @@ def to_integers(vector: Column, scale: int = 256) -> Column:
 
 
 def usable(vector: Column) -> Column:
-    """Vectors that are null, empty, or hold null or non-finite components take no part."""
+    """Vectors that are null or hold null or non-finite components take no part. Empty ones do."""
     bad = F.exists(vector, lambda x: x.isNull() | F.isnan(x.cast("double")) | (F.abs(x.cast("double")) == float("inf")))
-    return vector.isNotNull() & (F.size(vector) > 0) & ~F.coalesce(bad, F.lit(True))
+    return vector.isNotNull() & ~F.coalesce(bad, F.lit(True))
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
     """A list column of equal lengths as an int64 matrix."""
     flat = column.flatten().to_numpy(zero_copy_only=False)
-    return flat.reshape(len(column), -1)
+    return flat.reshape(len(column), len(flat) // max(len(column), 1))
+
+
+def _of_length(lists: list[list[int]], n: int) -> np.ndarray:
+    some = [v for v in lists if len(v) == n]
+    return np.array(some, dtype=np.float64).reshape(len(some), n)
 
 
 def _by_length(batch: pa.RecordBatch, at: int) -> Iterator[pa.RecordBatch]:
@@ -63,7 +72,7 @@ def _exact(m: np.ndarray) -> np.ndarray:
 
 def build_index(vectors: DataFrame, stage: Stage, *, id_col: str, vec_col: str, scale: int = 256, pivots: int = PIVOTS) -> tuple[DataFrame, np.ndarray]:
     """(table of vec_id, v array<long>, d array<double>; pivots): every usable row, with its distances to the pivots."""
-    rows = vectors.where(usable(F.col(vec_col))).select(F.col(id_col).cast("long").alias("vec_id"), to_integers(F.col(vec_col), scale).alias("v"))
+    rows = vectors.where(usable(F.col(vec_col)) & F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("vec_id"), to_integers(F.col(vec_col), scale).alias("v"))
     chosen = rows.select("v", F.xxhash64("v").alias("h")).distinct().orderBy("h").limit(pivots).collect()  # at most ``pivots`` rows
     lists = [r["v"] for r in chosen]
 
@@ -71,7 +80,7 @@ def build_index(vectors: DataFrame, stage: Stage, *, id_col: str, vec_col: str,
         for whole_batch in batches:
             for b in _by_length(whole_batch, 1):
                 x = _matrix(b.column(1)).astype(np.float64)
-                p = np.array([v for v in lists if len(v) == x.shape[1]], dtype=np.float64).reshape(-1, x.shape[1])
+                p = _of_length(lists, x.shape[1])
                 gap = np.sqrt(np.maximum(0.0, (x * x).sum(1)[:, None] + (p * p).sum(1)[None, :] - 2.0 * x @ p.T))
                 yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.FixedSizeListArray.from_arrays(pa.array(gap.ravel()), p.shape[0]).cast(pa.list_(pa.float64())) if p.shape[0] else pa.array([[]] * len(b), pa.list_(pa.float64()))], ["vec_id", "v", "d"])
 
@@ -86,9 +95,10 @@ class _Queries:
         self.ids, self.exact, self.k = ids, _exact(vectors), k
         q = vectors.astype(np.float64)
         self.norm = (q * q).sum(1)
-        p = np.array([v for v in lists if len(v) == q.shape[1]], dtype=np.float64).reshape(-1, q.shape[1])
+        p = _of_length(lists, q.shape[1])
         self.d = np.sqrt(np.maximum(0.0, self.norm[:, None] + (p * p).sum(1)[None, :] - 2.0 * q @ p.T))
         self.best: list[list[tuple[int, int]]] = [[] for _ in ids]  # (-score, vec_id), ascending
+        self.evaluated, self.met = [0] * len(ids), 0
 
     def meet(self, ids: np.ndarray, vectors: np.ndarray, d: np.ndarray) -> None:
         x = _exact(vectors)
@@ -96,6 +106,7 @@ class _Queries:
         once = len(np.unique(ids)) == len(ids)
         xf = vectors.astype(np.float64)
         norm = (xf * xf).sum(1)
+        self.met += len(ids)
         for a in range(0, len(self.ids), QUERY_TILE):
             tile = slice(a, min(a + QUERY_TILE, len(self.ids)))
             low = np.zeros((tile.stop - tile.start, len(ids)))
@@ -119,6 +130,7 @@ class _Queries:
                 now, left = left[cut[:STEP]], left[cut[STEP:]]
             else:
                 now, left = left, left[:0]
+            self.evaluated[i] += len(now)
             score = x[now] @ q
             if len(best) == k:
                 keep = score >= -best[-1][0]
@@ -138,14 +150,11 @@ class _Queries:
                 left = left[bound[left] >= -best[-1][0]]
 
 
-def top_k(vectors: DataFrame, is_query: Column, k: int = 5, *, id_col: str = "vec_id", vec_col: str = "embedding", scale: int = 256, query_block: int = QUERY_BLOCK, pivots: int = PIVOTS) -> DataFrame:
-    """The k highest integer inner products of each query row: query_id, rank, vec_id, score.
+_FOUND = "query_id bigint, vec_id bigint, score bigint, evaluated bigint, met bigint"
 
-    is_query: a condition on ``vec_id``, the name that the index gives the id. Candidates are all usable rows with another id; ties go to the smaller
-    id; fewer than k candidates give fewer rows. A query id that occurs in several rows is asked once for each
-    different vector and its answers are merged; repeated candidate rows with one id count once (their best score).
-    Empty tables give no rows. Vectors of another length than the query's do not match it.
-    """
+
+def _found(vectors: DataFrame, is_query: Column, k: int, id_col: str, vec_col: str, scale: int, query_block: int, pivots: int) -> DataFrame:
+    """A staged table of what every partition found, and one row a query and partition (vec_id null) of what it took."""
     spark = vectors.sparkSession
     ship(spark)
     stage = Stage(spark, "topk")
@@ -153,13 +162,12 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 5, *, id_col: str = "ve
     asked = index.where(is_query).select("vec_id", "v").distinct()
     n = asked.count()
     if not n:
-        return spark.createDataFrame([], "query_id bigint, rank int, vec_id bigint, score bigint")
+        return spark.createDataFrame([], _FOUND)
     blocks = -(-n // query_block)
     # dealt round robin into ``blocks`` parts of even size and numbered, so each part is read, and sent out, by itself
-    at = stage.path("queries")
+    at, out = stage.path("queries"), stage.path("found")
     asked.repartition(blocks).withColumn("block", F.spark_partition_id()).write.partitionBy("block").parquet(at)
     parts = spark.read.parquet(at)
-    found = None
     for block in range(blocks):
         rows = parts.where(F.col("block") == block).select("vec_id", "v").collect()  # about query_block rows
         sent = spark.sparkContext.broadcast([(r["vec_id"], r["v"]) for r in rows])
@@ -168,28 +176,48 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 5, *, id_col: str = "ve
             by_length: dict[int, _Queries] = {}
             for n_ in {len(v) for _, v in sent.value}:
                 mine = [(i, v) for i, v in sent.value if len(v) == n_]
-                by_length[n_] = _Queries(np.array([i for i, _ in mine]), np.array([v for _, v in mine], dtype=np.int64), lists, k)
+                by_length[n_] = _Queries(np.array([i for i, _ in mine]), np.array([v for _, v in mine], dtype=np.int64).reshape(len(mine), n_), lists, k)
             for whole_batch in batches:
                 for b in _by_length(whole_batch, 1):
                     x = _matrix(b.column(1))
                     if x.shape[1] in by_length:
                         by_length[x.shape[1]].meet(b.column(0).to_numpy(), x, _matrix(b.column(2)))
-            out = [(int(q.ids[i]), v, -s) for q in by_length.values() for i, best in enumerate(q.best) for s, v in best]
-            yield pa.RecordBatch.from_arrays([pa.array([o[j] for o in out], pa.int64()) for j in range(3)], ["query_id", "vec_id", "score"])
+            rows = [(int(q.ids[i]), v, -s, None, None) for q in by_length.values() for i, best in enumerate(q.best) for s, v in best]
+            rows += [(int(q.ids[i]), None, None, q.evaluated[i], q.met) for q in by_length.values() for i in range(len(q.ids))]
+            yield pa.RecordBatch.from_arrays([pa.array([r[j] for r in rows], pa.int64()) for j in range(5)], [f.split()[0] for f in _FOUND.split(", ")])
+
+        index.mapInArrow(search, _FOUND).write.mode("append").parquet(out)
+        sent.destroy()
+    return spark.read.schema(_FOUND).parquet(out)
 
-        part = index.mapInArrow(search, "query_id bigint, vec_id bigint, score bigint")
-        found = part if found is None else found.unionByName(part)
+
+def top_k(vectors: DataFrame, is_query: Column, k: int = 5, *, id_col: str = "vec_id", vec_col: str = "embedding", scale: int = 256, query_block: int = QUERY_BLOCK, pivots: int = PIVOTS) -> DataFrame:
+    """The k highest integer inner products of each query row: query_id, rank, vec_id, score.
+
+    is_query: a condition on ``vec_id``, the name that the index gives the id. Candidates are all usable rows with another id; ties go to the smaller
+    id; fewer than k candidates give fewer rows. Rows without an id take no part. A query id that occurs in several rows is asked once for each
+    different vector and its answers are merged; repeated candidate rows with one id count once (their best score).
+    Empty tables give no rows. Vectors of another length than the query's do not match it; empty vectors match one
+    another, with score 0. Other columns are ignored, whatever their names.
+    """
+    found = _found(vectors, is_query, k, id_col, vec_col, scale, query_block, pivots).where("vec_id IS NOT NULL")
     merged = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     by = Window.partitionBy("query_id").orderBy(F.desc("score"), F.asc("vec_id"))
     return merged.withColumn("rank", F.row_number().over(by)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
+def elimination(vectors: DataFrame, is_query: Column, k: int = 5, *, id_col: str = "vec_id", vec_col: str = "embedding", scale: int = 256, query_block: int = QUERY_BLOCK, pivots: int = PIVOTS) -> DataFrame:
+    """What a search took: (query_id, evaluated, met): inner products computed, of all rows of the query's length."""
+    found = _found(vectors, is_query, k, id_col, vec_col, scale, query_block, pivots).where("vec_id IS NULL")
+    return found.groupBy("query_id").agg(F.sum("evaluated").alias("evaluated"), F.sum("met").alias("met"))
+
+
 TOP_SQL = """
 WITH e AS (
   SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v FROM embeddings
-  WHERE embedding IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
 s AS (
-  SELECT q.vec_id AS query_id, c.vec_id AS vec_id, CAST(list_inner_product(q.v, c.v) AS BIGINT) AS score
+  SELECT q.vec_id AS query_id, c.vec_id AS vec_id, CAST(CASE WHEN len(q.v) = 0 THEN 0 ELSE list_inner_product(q.v, c.v) END AS BIGINT) AS score
   FROM e q JOIN e c ON q.vec_id <> c.vec_id AND len(q.v) = len(c.v) WHERE q.vec_id % 50 = 0),
 r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INT) AS rank FROM s)
 SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5"""

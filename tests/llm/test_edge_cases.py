@@ -86,6 +86,14 @@ def test_line_dedup(table):
     assert line_dedup.line_bitmaps(empty(table)).count() == 0
 
 
+def test_line_bitmaps_merge_slice_by_slice(table, monkeypatch):
+    """The way for more frequent lines than a broadcast takes."""
+    monkeypatch.setattr(line_dedup, "BROADCAST_ROWS", 0)
+    rows = [(i, "\n".join(f"line {j} that some documents hold, long enough to count" for j in range(i % 4, 9)) + f"\nown {i}") for i in range(40)]
+    got = line_dedup.line_bitmaps(table(rows), with_text=True, slices=4).collect()
+    assert sorted(((r.doc_id, r.n_lines, r.n_dropped, r.kept_text) for r in got), key=repr) == brute_lines(rows)
+
+
 # -- exact copies --------------------------------------------------------------------------------------------------------
 
 
@@ -103,6 +111,15 @@ def test_exact_dedup(spark, table, tmp_path, files_per_batch):
     assert sum(r.kept for r in got) == len(groups) and all(r.doc_id == r.keep_id for r in got if r.kept)
 
 
+def test_exact_dedup_goes_on_from_its_state(spark, table, tmp_path):
+    at, state = str(tmp_path / "d"), str(tmp_path / "state")
+    table([(1, "a"), (2, "b"), (3, "c")]).write.parquet(at)
+    run = lambda: {r.doc_id: (r.keep_id, r.group_size, r.kept) for r in exact_dedup.exact_dedup(spark, at, state_dir=state).collect()}
+    assert run() == {1: (1, 1, True), 2: (2, 1, True), 3: (3, 1, True)} == run()
+    table([(9, "a"), (0, "b"), (5, "d")]).write.mode("append").parquet(at)
+    assert run() == {1: (9, 2, False), 2: (2, 2, True), 3: (3, 1, True), 9: (9, 2, True), 0: (2, 2, False), 5: (5, 1, True)}
+
+
 def test_exact_dedup_of_nothing(spark, table, tmp_path):
     empty(table).write.parquet(str(tmp_path / "d"))
     assert exact_dedup.exact_dedup(spark, str(tmp_path / "d")).count() == 0
@@ -372,6 +389,17 @@ def test_urls(spark):
     assert url_filter.judge_urls(pages.limit(0), rules).count() == 0
 
 
+def test_urls_by_a_vocabulary_from_a_table(spark):
+    words = spark.createDataFrame([("Bad", 1.0), ("bad", 0.2), ("half", 0.5), ("most", 0.9), ("bit", 0.1), (None, 1.0), ("", 1.0), ("x", None)], "term string, weight double")
+    terms = url_filter.read_terms(words)
+    assert [(t.text, t.weight) for t in terms] == [("bad", 1.0), ("bit", 0.1), ("half", 0.5), ("most", 0.9)]
+    urls = ["bad", "bads", "half-half", "most-bit", "bit/half", "half.most", "half " * 50_000, "BAD " * 50_000, None, "half.most"]
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id int, url string")
+    got = {r.page_id: (r.verdict, r.n_strict, r.n_soft) for r in url_filter.judge_urls(pages, terms=terms).collect()}
+    assert [got[i] for i in range(len(urls))] == [("block", 1, 0), ("allow", 0, 0), ("allow", 0, 1), ("block", 0, 2), ("allow", 0, 2), ("block", 0, 2), ("allow", 0, 1), ("block", 1, 0), ("allow", 0, 0), ("block", 0, 2)]
+    assert {r.verdict for r in url_filter.judge_urls(pages, terms=()).collect()} == {"allow"}
+
+
 # -- top k ---------------------------------------------------------------------------------------------------------------
 
 
@@ -379,9 +407,9 @@ def test_urls(spark):
 def test_top_k(spark, query_block):
     rng = np.random.default_rng(6)
     v = [list(map(float, x)) for x in rng.normal(0, 0.3, (300, 8))]
-    rows = [(i, x) for i, x in enumerate(v)] + [(1000 + i, v[50]) for i in range(20)] + [(50, v[50]), (2000, None), (2001, [1.0, None] + [0.0] * 6), (2002, [float("nan")] * 8), (2003, [1.0, 2.0]), (2050, [3.0, 4.0]), (3000, []), (100, [1e9] * 8)]
+    rows = [(i, x) for i, x in enumerate(v)] + [(1000 + i, v[50]) for i in range(20)] + [(50, v[50]), (2000, None), (2001, [1.0, None] + [0.0] * 6), (2002, [float("nan")] * 8), (2003, [1.0, 2.0]), (2050, [3.0, 4.0]), (3000, []), (3001, []), (None, v[3]), (100, [1e9] * 8)]
     df = spark.createDataFrame([(*r, 1, "q") for r in rows], "vec_id bigint, embedding array<float>, score int, v string")
-    ok = [(i, [int(np.floor(256 * float(np.float32(c)))) for c in x]) for i, x in rows if x and all(c is not None and np.isfinite(c) for c in x)]
+    ok = [(i, [int(np.floor(256 * float(np.float32(c)))) for c in x]) for i, x in rows if i is not None and x is not None and all(c is not None and np.isfinite(c) for c in x)]
     want = set()
     for q in {i for i, _ in ok if i % 50 == 0}:
         best = {}
@@ -396,6 +424,15 @@ def test_top_k(spark, query_block):
     assert topk.top_k(df.limit(0), F.col("vec_id") % 50 == 0).count() == 0
 
 
+def test_pivots_eliminate_where_distances_differ(spark):
+    rng = np.random.default_rng(8)
+    centres = rng.normal(0, 1, (12, 8))
+    v = [(i, list(map(float, centres[i % 12] + rng.normal(0, 0.01, 8)))) for i in range(6000)]
+    df = spark.createDataFrame(v, "vec_id bigint, embedding array<float>")
+    took = topk.elimination(df, F.col("vec_id") % 50 == 0).agg(F.sum("evaluated"), F.sum("met")).first()
+    assert 0 < took[0] < 0.7 * took[1]
+
+
 # -- mixing --------------------------------------------------------------------------------------------------------------
 
 
@@ -426,6 +463,18 @@ def test_mixing(spark, table):
     assert mixing.plan_mix(empty(table), Stage(spark, "t")).count() == 0
 
 
+def test_mixing_of_rows_without_ids(spark, table):
+    rows = [(None, f"text {i} of some words", "a") for i in range(300)] + [(None, "same words", "b")] * 40 + [(7, f"t{i}", "a") for i in range(50)] + [(1, None, None), (2, "x y", None)]
+    plan = mixing.plan_mix(table(rows), Stage(spark, "t"), block_docs=16).collect()
+    assert len(plan) == len(rows) and all(r.copies >= 1 for r in plan)
+    assert len({r.block for r in plan if r.source == "a" and r.doc_id is None}) > 10 and len({r.block for r in plan if r.doc_id == 7}) > 5
+    for source in ("a", "b", None):
+        mine = sorted((r.before, r.n_tokens) for r in plan if r.source == source)
+        assert all(b0 + n0 == b1 for (b0, n0), (b1, _) in zip(mine, mine[1:], strict=False)) and mine[0][0] == 0
+    out = mixing.mix(table(rows), Stage(spark, "t"), block_docs=16)
+    assert out.count() >= sum(r.copies for r in plan)
+
+
 def test_exponent_reaches_the_entropy(spark):
     shares = spark.createDataFrame([(0.9,), (0.08,), (0.02,)], "p double")
     a = mixing.find_exponent(shares, 0.8, 1000.0)
