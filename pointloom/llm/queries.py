@@ -76,7 +76,7 @@ def op8_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = find_personal_data(_read(spark, sf_dir, "documents"))
     counts = [f"n_{k}" for k in ("email", "ip", "card", "phone")]
-    return found.select("doc_id", *counts, F.sha2("base", 256).alias("base_sha256"), "spans")
+    return found.select("doc_id", *counts, F.sha2("base", 256).alias("base_sha256"), "spans", "n_added", "n_spans")
 
 
 def op10_piece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -63,13 +63,15 @@ def test_personal_data_matches_brute_force(spark, sf, duck):
         assert set(filter(None, base.split(","))) <= set(got[d].spans.split(","))
 
 
-@pytest.mark.parametrize(("name", "label", "least"), [("op1_toxicity", "toxic", 0.88), ("op4_quality", "quality", 0.9)])
-def test_classifiers_on_held_out_rows(spark, duck, name, label, least):
-    at = "/root/testdata/sf0.01"
+# sf0.1: of the held-out rows 0.118 are toxic, 0.148 of low quality; some of the labels are noise
+@pytest.mark.parametrize(("name", "label", "least", "found"), [("op1_toxicity", "toxic", 0.94, 0.6), ("op4_quality", "quality", 0.97, 0.9)])
+def test_classifiers_on_held_out_rows(spark, duck, name, label, least, found):
+    at = "/root/testdata/sf0.1"
     rows = {r.doc_id: r for r in llm.queries()[name](spark, at).collect()}
     labels = duck.execute(f"SELECT doc_id, {label} FROM '{at}/labels.parquet'").fetchall()
     held = [(rows[d].predicted, y) for d, y in labels if rows[d].held_out]
     assert all(0 <= r.score <= 1 for r in rows.values())
     assert sum(p == y for p, y in held) / len(held) >= least
-    clean = [p for p, y in held if y == (0 if label == "toxic" else 1)]
-    assert sum(p == (0 if label == "toxic" else 1) for p in clean) / len(clean) >= 0.95
+    rare, common = (1, 0) if label == "toxic" else (0, 1)
+    assert sum(p == rare for p, y in held if y == rare) >= found * sum(y == rare for _, y in held)
+    assert sum(p == common for p, y in held if y == common) >= 0.98 * sum(y == common for _, y in held)
