@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -10,15 +11,15 @@ from pyspark.sql import functions as F
 from .functions import morton63
 from .operators import cluster, features, filters, plane, search, stats
 from .operators.stats import XYZ, xyz
-from .plans.pipelines import Config3D, Config25D, pipeline_3d, pipeline_25d, stage_counts
-from .sources import simstats, sinks, tables
+from .plans.pipelines import Config3D, Config25D, pipeline_3d, pipeline_25d, stage_counts, walkthrough
+from .sources import pcd, simstats, sinks, tables
+from .staging import Staging
 
 EMB = "SELECT vec_id AS pid, embedding[1] AS x, embedding[2] AS y, embedding[3] AS z FROM embeddings"
 LI = "SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, CAST(l_quantity AS FLOAT) AS x, CAST(l_extendedprice / 1000 AS FLOAT) AS y, CAST(l_discount * 100 + 0.0 AS FLOAT) AS z FROM lineitem"
 EVT = "SELECT CAST(ts AS DATE) AS frame, event_id AS pid, CAST(user_id AS FLOAT) AS x, CAST(hour(ts) AS FLOAT) AS y, CAST(value AS FLOAT) AS z FROM events"
 PART = "SELECT p_partkey AS pid, CAST(p_size AS FLOAT) AS x, CAST(p_retailprice / 100 AS FLOAT) AS y, CAST(p_partkey % 50 AS FLOAT) AS z FROM part"
-SYN = "SELECT i AS pid, CAST((i * 3 + 1) % 97 AS FLOAT) AS x, CAST((i * 5 + 7) % 89 AS FLOAT) AS y, CAST((i * 7 + 13) % 83 AS FLOAT) AS z FROM range({n}) t(i)"
-N = 100_000
+SYN = "SELECT i AS pid, CAST((i * 3 + 1) % 97 AS FLOAT) AS x, CAST((i * 5 + 7) % 89 AS FLOAT) AS y, CAST((i * 7 + 13) % 83 AS FLOAT) AS z FROM (SELECT row_number() OVER () - 1 AS i FROM lineitem) t"
 QUERY, RADIUS = (0.05, -0.05, 0.1), 0.1
 LEAF, TOL = 2.5, 0.05
 PLANE = dict(threshold=0.05, iterations=200, seed=7)
@@ -53,6 +54,11 @@ def _pairs(r: float, src: str = "e") -> str:
     return f"SELECT q.pid AS qid, p.pid AS pid, {_d2()} AS d2, p.x AS x, p.y AS y, p.z AS z FROM {src} q JOIN {src} p ON {_d2()} <= {_r2(r)}"
 
 
+def _modular(spark, sf):
+    """The modular cloud, with as many points as lineitem has rows."""
+    return tables.modular_cloud(spark, tables.read(spark, sf, "lineitem").count())
+
+
 # -- one-pass kernels --------------------------------------------------------------------------------------------------
 
 
@@ -78,32 +84,32 @@ def bbox(spark, sf):
     return stats.bounding_box(tables.from_lineitem(spark, sf))
 
 
-@_query(f"WITH p AS ({SYN.format(n=N)}) SELECT CAST(sum(floor((x - 41) * (x - 41) + (y - 29) * (y - 29) + (z - 37) * (z - 37))) AS BIGINT) AS checksum FROM p")
+@_query(f"WITH p AS ({SYN}) SELECT CAST(sum(floor((x - 41) * (x - 41) + (y - 29) * (y - 29) + (z - 37) * (z - 37))) AS BIGINT) AS checksum FROM p")
 def l2_checksum(spark, sf):
-    return stats.l2_checksum(tables.modular_cloud(spark, N), (41, 29, 37))
+    return stats.l2_checksum(_modular(spark, sf), (41, 29, 37))
 
 
-@_query(f"""WITH p AS ({SYN.format(n=N)}), s AS (SELECT count(*) AS n, sum(CAST(x + y + z AS BIGINT)) AS s, sum(CAST(x + y + z AS BIGINT) * CAST(x + y + z AS BIGINT)) AS q FROM p),
+@_query(f"""WITH p AS ({SYN}), s AS (SELECT count(*) AS n, sum(CAST(x + y + z AS BIGINT)) AS s, sum(CAST(x + y + z AS BIGINT) * CAST(x + y + z AS BIGINT)) AS q FROM p),
 m AS (SELECT n, CAST(floor(s / n) AS BIGINT) AS mean, CAST(floor(q / n - (s / n) * (s / n)) AS BIGINT) AS variance FROM s) SELECT n, mean, variance, xor(mean << 32, variance) AS checksum FROM m""")
 def reduction_stats(spark, sf):
-    return stats.reduction_stats(tables.modular_cloud(spark, N))
+    return stats.reduction_stats(_modular(spark, sf))
 
 
-@_query(f"WITH p AS ({SYN.format(n=N)}) SELECT count(*) AS n FROM p WHERE x + y + z <= 120")
+@_query(f"WITH p AS ({SYN}) SELECT count(*) AS n FROM p WHERE x + y + z <= 120")
 def masked_filter(spark, sf):
-    return stats.masked_filter(tables.modular_cloud(spark, N), 120.0)
+    return stats.masked_filter(_modular(spark, sf), 120.0)
 
 
-@_query(f"WITH p AS ({SYN.format(n=N)}) SELECT count(*) AS n FROM p WHERE (17 - x) * (17 - x) + (23 - y) * (23 - y) + (31 - z) * (31 - z) <= 2025")
+@_query(f"WITH p AS ({SYN}) SELECT count(*) AS n FROM p WHERE (17 - x) * (17 - x) + (23 - y) * (23 - y) + (31 - z) * (31 - z) <= 2025")
 def radius_count(spark, sf):
-    return search.radius_query(tables.modular_cloud(spark, N), (17.0, 23.0, 31.0), 45.0).agg(F.count(F.lit(1)).alias("n"))
+    return search.radius_query(_modular(spark, sf), (17.0, 23.0, 31.0), 45.0).agg(F.count(F.lit(1)).alias("n"))
 
 
-@_query(f"""WITH p AS ({SYN.format(n=N)}), l AS (SELECT x, y, z, lead(x, 1) OVER w AS x1, lead(y, 1) OVER w AS y1, lead(z, 1) OVER w AS z1, lead(x, 2) OVER w AS x2, lead(y, 2) OVER w AS y2, lead(z, 2) OVER w AS z2 FROM p WINDOW w AS (ORDER BY pid))
+@_query(f"""WITH p AS ({SYN}), l AS (SELECT x, y, z, lead(x, 1) OVER w AS x1, lead(y, 1) OVER w AS y1, lead(z, 1) OVER w AS z1, lead(x, 2) OVER w AS x2, lead(y, 2) OVER w AS y2, lead(z, 2) OVER w AS z2 FROM p WINDOW w AS (ORDER BY pid))
 SELECT count(*) AS n, CAST(sum(floor(abs((y1 - y) * (z2 - z) - (z1 - z) * (y2 - y)))) AS BIGINT) AS sum_x, CAST(sum(floor(abs((z1 - z) * (x2 - x) - (x1 - x) * (z2 - z)))) AS BIGINT) AS sum_y,
 CAST(sum(floor(abs((x1 - x) * (y2 - y) - (y1 - y) * (x2 - x)))) AS BIGINT) AS sum_z FROM l WHERE x2 IS NOT NULL""")
 def triple_cross(spark, sf):
-    return stats.triple_cross(tables.modular_cloud(spark, N))
+    return stats.triple_cross(_modular(spark, sf))
 
 
 # -- neighbour searches ------------------------------------------------------------------------------------------------
@@ -127,10 +133,10 @@ def radius_join(spark, sf):
     return search.radius_join(e, e, RADIUS).select("qid", "pid", F.round(F.col("d2").cast("double"), 6).alias("d2"))
 
 
-@_query(f"WITH e AS ({EMB}), n AS ({_pairs(RADIUS)}) SELECT qid, count(*) AS n FROM n WHERE qid % 10 = 0 GROUP BY qid")
+@_query(f"WITH e AS ({EMB}), n AS ({_pairs(RADIUS)}) SELECT qid, count(*) AS n FROM n GROUP BY qid")
 def batch_radius_counts(spark, sf):
     e = tables.from_embeddings(spark, sf)
-    return search.radius_join(e.where("pid % 10 = 0"), e, RADIUS).groupBy("qid").agg(F.count(F.lit(1)).alias("n"))
+    return search.radius_join(e, e, RADIUS).groupBy("qid").agg(F.count(F.lit(1)).alias("n"))
 
 
 _KNN = "SELECT q.pid AS qid, CAST(row_number() OVER (PARTITION BY q.pid ORDER BY {d}, p.pid) AS INT) AS rank, p.pid AS pid, {d} AS d2, p.x AS x, p.y AS y, p.z AS z FROM {src} q JOIN {src} p ON q.pid <> p.pid"
@@ -159,9 +165,9 @@ def morton_code(spark, sf):
 
 
 @_query(f"""WITH e AS ({EMB}), b AS ({_BOX}), m AS (SELECT pid, x, y, z, {_lanes(10, (0, 1, 2))} AS morton FROM b), k AS (SELECT *, row_number() OVER (ORDER BY morton, pid) AS rk FROM m)
-SELECT q.pid AS qid, p.pid AS pid FROM k q JOIN k p ON abs(q.rk - p.rk) <= 16 WHERE {_d2()} <= {_r2(RADIUS)}""")
+SELECT q.pid AS qid, p.pid AS pid FROM k q JOIN k p ON abs(q.rk - p.rk) <= 128 WHERE {_d2()} <= {_r2(RADIUS)}""")
 def approx_morton_join(spark, sf):
-    return search.approx_morton_join(tables.from_embeddings(spark, sf), RADIUS, 16).select("qid", "pid")
+    return search.approx_morton_join(tables.from_embeddings(spark, sf), RADIUS, 128).select("qid", "pid")
 
 
 # -- filters -----------------------------------------------------------------------------------------------------------
@@ -379,10 +385,10 @@ def cluster_sizes(spark, sf):
     return _sizes(spark, sf)
 
 
-@_query(f"{_EUCLID} SELECT cluster_id, string_agg(CAST(pid AS VARCHAR), ',' ORDER BY pid) AS pids FROM c WHERE size BETWEEN 3 AND 50 GROUP BY cluster_id")
+@_query(f"{_EUCLID} SELECT cluster_id, pid // 4096 AS chunk, string_agg(CAST(pid AS VARCHAR), ',' ORDER BY pid) AS pids FROM c WHERE size BETWEEN 3 AND 100000 GROUP BY 1, 2")
 def cluster_lists(spark, sf):
-    lists = cluster.cluster_lists(cluster.euclidean_clusters(tables.from_embeddings(spark, sf), TOL, 3, 50))
-    return lists.select("cluster_id", F.array_join("pids", ",").alias("pids"))
+    lists = cluster.cluster_lists(cluster.euclidean_clusters(tables.from_embeddings(spark, sf), TOL, 3, 100_000))
+    return lists.select("cluster_id", "chunk", F.array_join("pids", ",").alias("pids"))
 
 
 @_query(f"""{_SIZES}, h AS (SELECT cluster_id, ordinal, 0.35 + (ordinal + 1) * 0.618034::DOUBLE AS t FROM s), i AS (SELECT *, (t - floor(t)) * 6 AS h6 FROM h), j AS (SELECT *, CAST(floor(h6) AS INT) AS k, h6 - floor(h6) AS f FROM i),
@@ -484,6 +490,133 @@ def frame_timeline(spark, sf):
     return messages.select("frame_id", "topic", "log_time_ns", "point_count", "point_stride", F.length("data").cast("long").alias("n_bytes"))
 
 
+# -- layouts, formats, variants ----------------------------------------------------------------------------------------
+
+
+@_query(f"WITH e AS ({EMB}), b AS ({_BOX}), m AS (SELECT pid, {_lanes(10, (0, 1, 2))} AS morton FROM b) SELECT pid, row_number() OVER (ORDER BY morton, pid) - 1 AS rk FROM m")
+def zorder_rank(spark, sf):
+    coded = search.morton_sorted(tables.from_embeddings(spark, sf))
+    return stats.global_rank(coded, ["morton", "pid"], F.shiftright("morton", 18)).select("pid", "rk")
+
+
+@_query(f"WITH e AS ({EMB}), b AS (SELECT max(x)::DOUBLE - min(x)::DOUBLE AS ex, max(y)::DOUBLE - min(y)::DOUBLE AS ey, max(z)::DOUBLE - min(z)::DOUBLE AS ez FROM e) SELECT round(greatest(0.001, least(pow(ex * ey * ez / 500, 1 / 3.0::DOUBLE), greatest(ex, ey, ez) / 10)), 9) AS leaf FROM b")
+def adaptive_leaf(spark, sf):
+    return spark.createDataFrame([(round(stats.adaptive_leaf(tables.from_embeddings(spark, sf), 500), 9),)], "leaf double")
+
+
+_STAGED = "SELECT CAST(ts AS DATE) AS frame, event_type AS stage, event_id AS pid FROM events"
+
+
+def _staged(spark, sf):
+    return tables.read(spark, sf, "events").select(F.to_date("ts").alias("frame"), F.col("event_type").alias("stage"), F.col("event_id").alias("pid"))
+
+
+@_query(f"WITH s AS ({_STAGED}), f AS (SELECT frame, row_number() OVER (ORDER BY frame) - 1 AS i FROM (SELECT DISTINCT frame FROM s) t) SELECT pid FROM s JOIN f USING (frame) WHERE i >= 2 AND i < 7")
+def frame_slice(spark, sf):
+    return sinks.frame_slice(_staged(spark, sf), 2, 5).select("pid")
+
+
+@_query(f"SELECT stage, pid FROM ({_STAGED}) s WHERE (contains(stage, 'c') OR contains(stage, 'view')) AND NOT contains(stage, 'cl')")
+def stage_filter(spark, sf):
+    return sinks.stages_of(_staged(spark, sf), ("c", "view"), ("cl",)).select("stage", "pid")
+
+
+@_query(f"SELECT stage, count(DISTINCT frame) AS frames FROM ({_STAGED}) s GROUP BY stage")
+def stage_names(spark, sf):
+    return sinks.stage_names(_staged(spark, sf))
+
+
+_HALF = "SELECT event_type AS label, sum(CAST(round(value * 100) AS BIGINT)) / 100.0::DOUBLE AS ms FROM events WHERE event_id % 2 = {k} GROUP BY 1"
+
+
+@_query(f"WITH a AS ({_HALF.format(k=0)}), b AS ({_HALF.format(k=1)}), j AS (SELECT label, a.ms AS a_ms, b.ms AS b_ms FROM a JOIN b USING (label)), r AS (SELECT coalesce(label, 'TOTAL') AS label, sum(a_ms) AS a_ms, sum(b_ms) AS b_ms FROM j GROUP BY ROLLUP (label)) SELECT label, round(a_ms, 2) AS a_ms, round(b_ms, 2) AS b_ms, round(a_ms / b_ms, 6) AS speedup FROM r")
+def run_comparison(spark, sf):
+    """Events of even and of odd ids as two runs of the same stages."""
+    e = tables.read(spark, sf, "events")
+    half = lambda k: e.where(F.col("event_id") % 2 == k).groupBy(F.col("event_type").alias("label")).agg((F.sum(F.round(F.col("value") * 100).cast("long")) / F.lit(100.0)).alias("ms"))
+    return sinks.comparison(half(0), half(1)).select("label", F.round("a_ms", 2).alias("a_ms"), F.round("b_ms", 2).alias("b_ms"), F.round("speedup", 6).alias("speedup"))
+
+
+@_query("SELECT event_type AS unit, count(*)::DOUBLE AS hits, count(DISTINCT user_id)::DOUBLE AS misses, round(count(*)::DOUBLE / (count(*) + count(DISTINCT user_id)), 9) AS hit_rate FROM events GROUP BY 1")
+def hit_rates(spark, sf):
+    """Lines of statistics made of the events: an event type as a unit, its events as hits, its users as misses."""
+    e = tables.read(spark, sf, "events").groupBy(F.col("event_type").alias("u")).agg(F.count(F.lit(1)).alias("h"), F.count_distinct("user_id").alias("m"))
+    line = lambda end, c: F.concat("u", F.lit(f".{end}   "), F.col(c).cast("string"), F.lit("  # count"))
+    lines = e.select(F.explode(F.array(line("hits", "h"), line("misses", "m"), F.lit("---------- Begin"))).alias("value"))
+    return simstats.rates(simstats.parse(lines), []).withColumn("hit_rate", F.round("hit_rate", 9))
+
+
+def _through_pcd(cloud: DataFrame, **options: str) -> DataFrame:
+    """Writes the cloud as PCD files into the shared folder and reads them back."""
+    at = Staging(cloud.sparkSession, "pcd").root
+    pcd.register(cloud.sparkSession)
+    cloud.write.format("pcd").mode("append").options(**options).save(at)
+    return pcd.read_pcd(cloud.sparkSession, at, rgb="r" in cloud.columns)
+
+
+@_query(f"SELECT x, y, z FROM ({EMB}) t")
+def pcd_binary(spark, sf):
+    return _through_pcd(tables.from_embeddings(spark, sf), encoding="binary").select(*XYZ)
+
+
+@_query(f"SELECT x, y, z FROM ({EMB}) t")
+def pcd_ascii(spark, sf):
+    return _through_pcd(tables.from_embeddings(spark, sf), encoding="ascii").select(*XYZ)
+
+
+_SHADES = "CAST(pid % 256 AS SMALLINT) AS r, CAST(pid * 7 % 256 AS SMALLINT) AS g, CAST(pid * 13 % 256 AS SMALLINT) AS b"
+
+
+@_query(f"SELECT x, y, z, {_SHADES} FROM ({PART}) t")
+def pcd_colored(spark, sf):
+    shaded = tables.from_parts(spark, sf).selectExpr("pid", *XYZ, *(e.strip() for e in _SHADES.split(", ")))
+    return _through_pcd(shaded, encoding="binary").select(*XYZ, "r", "g", "b")
+
+
+@_query(f"{_EXECUTED}, parts AS (SELECT pid, {_NEAR} AS near FROM e, best JOIN planes USING (t)) SELECT count(*) AS n, count(*) AS n_union, 0::BIGINT AS n_both FROM parts")
+def inlier_set_operations(spark, sf):
+    """Inliers and outliers are disjoint and make up the cloud."""
+    e = tables.from_embeddings(spark, sf)
+    parts = Staging(spark, "parts").save(_parts(spark, sf).select("pid", "is_inlier"))
+    a, b = parts.where("is_inlier").select("pid"), parts.where("NOT is_inlier").select("pid")
+    one = lambda df, name: df.agg(F.count(F.lit(1)).alias(name))
+    return one(e, "n").join(one(a.union(b).distinct().intersect(e.select("pid")), "n_union")).join(one(a.intersect(b), "n_both"))  # one row each
+
+
+@_query(f"{_eigen(_pairs(RADIUS))} SELECT pid, valid, round(abs(coalesce(ux, 0)), 3) + 0.0 AS ax, round(abs(coalesce(uy, 0)), 3) + 0.0 AS ay, round(abs(coalesce(uz, 1)), 3) + 0.0 AS az FROM o")
+def normals_unflipped(spark, sf):
+    n = features.normals_radius(tables.from_embeddings(spark, sf), RADIUS, flip=False, fallback=(0.0, 0.0, 1.0))
+    return n.select("pid", "valid", *((F.round(F.abs(f"n{c}"), 3) + 0.0).alias(f"a{c}") for c in XYZ))
+
+
+CONFIG_TURBO = Config3D(leaf=0.02, outliers="radius_count", min_neighbours=3, sor_radius=RADIUS, normal_radius=0.15, plane_threshold=0.05, plane_iterations=PLANE["iterations"], plane_seed=PLANE["seed"], plane_test_first=True, tolerance=0.08, min_cluster=3)
+_FILTERED = f"SELECT d.* FROM ({_DOWN}) d JOIN (WITH e AS ({_DOWN}), n AS ({_pairs(RADIUS)}) SELECT qid AS pid FROM n GROUP BY qid HAVING count(*) >= 3) k USING (pid)"
+_TESTED = f"""{_RANSAC.replace(EMB, _FILTERED)}, f AS (SELECT * FROM e ORDER BY pid LIMIT 64), g AS (SELECT t, sum(CASE WHEN abs(a * CAST(x AS DOUBLE) + b * CAST(y AS DOUBLE) + c * CAST(z AS DOUBLE) + d) <= {_THR} THEN 1 ELSE 0 END) AS k FROM f, planes GROUP BY t),
+best AS (SELECT s.t FROM scores s JOIN g USING (t) WHERE t <= 10 OR k >= 0.15 * (SELECT count(*) FROM f) ORDER BY inliers DESC, t LIMIT 1)"""
+
+
+@_query(f"""SELECT '02_sor_filtered' AS label, (SELECT count(*) FROM ({_FILTERED}) t) AS point_count UNION ALL SELECT '04_ransac_inliers', (SELECT count(*) FROM ({_TESTED} SELECT pid FROM e, best JOIN planes USING (t) WHERE {_NEAR}) t)
+UNION ALL SELECT '05_ground_plane_removed', (SELECT count(*) FROM ({_TESTED} SELECT pid FROM e, best JOIN planes USING (t) WHERE NOT ({_NEAR})) t)""")
+def pipeline_3d_turbo(spark, sf):
+    stages = pipeline_3d(tables.from_embeddings(spark, sf), CONFIG_TURBO)
+    return stage_counts({k: stages[k] for k in ("02_sor_filtered", "04_ransac_inliers", "05_ground_plane_removed")}).select("label", "point_count")
+
+
+@_query(f"""WITH d AS ({_DOWN}), cl AS (SELECT *, CAST(floor((CAST(x AS DOUBLE) - CAST(min(x) OVER () AS DOUBLE)) / 0.1) AS INT) AS col, CAST(floor((CAST(y AS DOUBLE) - CAST(min(y) OVER () AS DOUBLE)) / 0.1) AS INT) AS row FROM d),
+sp AS (SELECT *, z <= min(z) OVER (PARTITION BY row, col) + CAST(0.1 AS FLOAT) AS is_ground FROM cl)
+SELECT '02_density_filtered' AS label, (SELECT count(*) FROM d) AS point_count UNION ALL SELECT '04_ground', (SELECT count(*) FROM sp WHERE is_ground) UNION ALL SELECT '05_obstacles', (SELECT count(*) FROM sp WHERE NOT is_ground)""")
+def pipeline_25d_all_cells(spark, sf):
+    """The 2.5D pipeline with cells of one point kept."""
+    stages = pipeline_25d(tables.from_embeddings(spark, sf), replace(CONFIG_25D, drop_singletons=False))
+    return stage_counts({k: stages[k] for k in ("02_density_filtered", "04_ground", "05_obstacles")}).select("label", "point_count")
+
+
+@_query()
+def walkthrough_stages(spark, sf):
+    """The walkthrough's floor is random, so SQL cannot express it; tests hold its stages against one another."""
+    return stage_counts(walkthrough(tables.from_embeddings(spark, sf)))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(_q)
 

@@ -6,14 +6,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import cluster_color, voxel
 from ..shipping import ship
 from ..staging import Staging
 from .search import radius_join
-from .stats import XYZ
+from .stats import XYZ, ranked
 
 #: Edges up to which one task labels the graph (16 bytes each); beyond it, rounds of joins do.
 ONE_TASK_EDGES = 2_000_000
@@ -87,12 +87,14 @@ def sized(named: DataFrame, least: int, most: int | None) -> DataFrame:
 def cluster_sizes(clusters: DataFrame) -> DataFrame:
     """(cluster_id, size, ordinal): ordinals from 0 in the order of the clusters' least points."""
     rows = clusters.groupBy("cluster_id").agg(F.count(F.lit(1)).alias("size"))
-    return rows.withColumn("ordinal", (F.row_number().over(Window.orderBy("cluster_id")) - 1).cast("long"))
+    return ranked(Staging(clusters.sparkSession, "sizes").save(rows), "cluster_id", "ordinal")
 
 
-def cluster_lists(clusters: DataFrame) -> DataFrame:
-    """(cluster_id, pids): the nested form, ids ascending. For clusters of bounded size."""
-    return clusters.groupBy("cluster_id").agg(F.array_sort(F.collect_list("pid")).alias("pids"))
+def cluster_lists(clusters: DataFrame, width: int = 4096) -> DataFrame:
+    """(cluster_id, chunk, pids): the nested form, ids ascending, in chunks of the ids from chunk * width on, so that a
+    row holds ``width`` ids at most however large its cluster is."""
+    chunk = F.floor(F.col("pid") / width).cast("long").alias("chunk")
+    return clusters.groupBy("cluster_id", chunk).agg(F.array_sort(F.collect_list("pid")).alias("pids"))
 
 
 def colors(sizes: DataFrame) -> DataFrame:

@@ -38,9 +38,10 @@ def outlier_removal(points: DataFrame, k: int, alpha: float, radius: float | Non
     return points.join(kept.select(*by, "pid"), [*by, "pid"], "left_semi")
 
 
-def radius_count_filter(points: DataFrame, radius: float, least: int, by: Sequence[str] = ()) -> DataFrame:
-    """Keeps points with at least ``least`` neighbours in the radius, themselves included."""
-    kept = radius_join(points, points, radius, by).groupBy(*by, "qid").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least)
+def radius_count_filter(points: DataFrame, radius: float, least: int, by: Sequence[str] = (), pairs: DataFrame | None = None) -> DataFrame:
+    """Keeps points with at least ``least`` neighbours in the radius, themselves included. pairs: such a join, to be used again."""
+    joined = pairs if pairs is not None else radius_join(points, points, radius, by)
+    kept = joined.groupBy(*by, "qid").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least)
     return points.join(kept.select(*by, F.col("qid").alias("pid")), [*by, "pid"], "left_semi")
 
 

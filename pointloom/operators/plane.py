@@ -7,28 +7,28 @@ count for each candidate and partition is shuffled.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import plane_distance, plane_from_points
-from .stats import XYZ, global_rank, xyz
+from ..shipping import ship
+from ..staging import Staging
+from .stats import XYZ, ranked, xyz
 
 #: Fixed values of the generator.
 MULTIPLIER, INCREMENT, MODULUS = 1103515245, 12345, 2147483647
 EPSILON = 2.220446049250313e-16
-
-
-def ranked(points: DataFrame, buckets: int = 1024) -> DataFrame:
-    """Adds rk, the dense rank by pid; bucketed by equal ranges of pid."""
-    box = points.agg(F.min("pid").alias("_lo"), F.max("pid").alias("_hi"))
-    rows = points.join(F.broadcast(box))  # one row
-    step = F.greatest(F.expr(f"(_hi - _lo) div {buckets} + 1"), F.lit(1))
-    return global_rank(rows.withColumn("_step", step), ["pid"], F.expr("(pid - _lo) div _step")).drop("_lo", "_hi", "_step")
+#: Points that are held against all candidates at once.
+CHUNK = 1024
 
 
 def candidates(points: DataFrame, iterations: int, seed: int) -> DataFrame:
     """(t, a, b, c, d): a plane for each iteration, null where its three points repeat or are collinear."""
-    rows = ranked(points).select("rk", *XYZ)
+    rows = ranked(points, "pid").select("rk", *XYZ)
     n = rows.count()
     spark = points.sparkSession
     if n < 3:
@@ -44,10 +44,28 @@ def candidates(points: DataFrame, iterations: int, seed: int) -> DataFrame:
 
 
 def scores(points: DataFrame, planes: DataFrame, threshold: float) -> DataFrame:
-    """(t, inliers) for each valid candidate: points with |distance| <= threshold."""
-    sent = F.broadcast(planes.where(F.col("a").isNotNull()))  # as many rows as iterations
-    near = F.abs(plane_distance(xyz(), tuple(F.col(c) for c in "abcd"))) <= threshold
-    return points.select(*XYZ).join(sent).groupBy("t").agg(F.sum(near.cast("long")).alias("inliers"))
+    """(t, inliers) for each valid candidate: points with |distance| <= threshold.
+
+    The candidates, as many rows as iterations, go to the tasks; each counts over whole batches of points and sends on one
+    row a candidate, so no pair of a point and a plane is ever a row.
+    """
+    ship(points.sparkSession)
+    rows = planes.where(F.col("a").isNotNull()).collect()
+    t = np.array([r["t"] for r in rows], np.int64)
+    a, b, c, d = (np.array([r[n] for r in rows], np.float64)[:, None] for n in "abcd")
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        inliers, seen = np.zeros(len(t), np.int64), False
+        for batch in batches:
+            at = [batch.column(i).to_numpy(zero_copy_only=False).astype(np.float64) for i in range(3)]
+            seen |= batch.num_rows > 0
+            for k in range(0, batch.num_rows, CHUNK):
+                x, y, z = (v[None, k : k + CHUNK] for v in at)
+                inliers += (np.abs(a * x + b * y + c * z + d) <= threshold).sum(1)
+        if seen:
+            yield pa.RecordBatch.from_arrays([pa.array(t), pa.array(inliers)], ["t", "inliers"])
+
+    return points.select(*XYZ).mapInArrow(count, "t bigint, inliers bigint").groupBy("t").agg(F.sum("inliers").alias("inliers"))
 
 
 def pretest(points: DataFrame, planes: DataFrame, threshold: float, sample: int = 64, share: float = 0.15, after: int = 10) -> DataFrame:
@@ -79,13 +97,15 @@ def executed(planes: DataFrame, scored: DataFrame, n: int, iterations: int, conf
 
 def fit_plane(points: DataFrame, threshold: float, iterations: int, seed: int, confidence: float = 0.99, test_first: bool = False) -> DataFrame:
     """One row: t, inliers, executed, a, b, c, d of the best plane (most inliers, then the least t); none if n < 3."""
-    planes = candidates(points, iterations, seed)
+    staging = Staging(points.sparkSession, "plane")
+    points = staging.save(points.select("pid", *XYZ))
     n = points.count()
+    planes = staging.save(candidates(points, iterations, seed))  # ``iterations`` rows
     if n < 3:
         return points.sparkSession.createDataFrame([], "t bigint, inliers bigint, executed bigint, a double, b double, c double, d double")
     if test_first:
         planes = pretest(points, planes, threshold)
-    scored = scores(points, planes, threshold)
+    scored = staging.save(scores(points, planes, threshold))
     if test_first:
         run = scored.withColumn("cap", F.lit(iterations).cast("long"))
     else:

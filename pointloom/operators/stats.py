@@ -94,6 +94,14 @@ def global_rank(rows: DataFrame, order: Sequence[str], bucket: Column, name: str
     return rows.withColumn("_in", inside).join(ahead, "_b").withColumn(name, (F.col("_in") + F.col("_start")).cast("long")).drop("_b", "_in", "_start")
 
 
+def ranked(rows: DataFrame, by: str, name: str = "rk", buckets: int = 1024) -> DataFrame:
+    """Adds the dense rank by a whole-numbered column, bucketed by equal ranges of it."""
+    box = rows.agg(F.min(by).alias("_lo"), F.max(by).alias("_hi"))
+    joined = rows.join(F.broadcast(box))  # one row
+    step = F.greatest(F.expr(f"(_hi - _lo) div {buckets} + 1"), F.lit(1))
+    return global_rank(joined.withColumn("_step", step), [by], F.expr(f"({by} - _lo) div _step"), name).drop("_lo", "_hi", "_step")
+
+
 def voxel_ids(points: DataFrame, leaf: float) -> DataFrame:
     """Occupied voxels with dense ids from 0 in the order of (vx, vy, vz)."""
     cells = points.select(*(voxel(F.col(c), leaf).alias(f"v{c}") for c in XYZ)).groupBy("vx", "vy", "vz").agg(F.count(F.lit(1)).alias("n"))

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from ..operators.cluster import cluster_sizes, colors, euclidean_clusters, grid_clusters
 from ..operators.features import normals_radius
-from ..operators.filters import density_filter, elevation_cells, ground_split, outlier_removal
+from ..operators.filters import density_filter, elevation_cells, ground_split, outlier_removal, radius_count_filter
 from ..operators.plane import fit_plane, split
 from ..operators.search import radius_join
 from ..operators.stats import downsample
@@ -31,6 +31,8 @@ class Config3D:
 
     leaf: float = 0.01
     skip_sor: bool = False
+    outliers: str = "statistical"  # or "radius_count": at least min_neighbours in sor_radius, the point included
+    min_neighbours: int = 3
     sor_k: int = 20
     sor_alpha: float = 1.0
     sor_radius: float = 0.25
@@ -39,6 +41,7 @@ class Config3D:
     plane_iterations: int = 1000
     plane_confidence: float = 0.99
     plane_seed: int = 0
+    plane_test_first: bool = False  # candidates are tried on a few points ahead of all
     tolerance: float = 0.15
     min_cluster: int = 50
     max_cluster: int = 100_000
@@ -46,6 +49,8 @@ class Config3D:
     def __post_init__(self) -> None:
         if not 0 < self.leaf < float("inf"):
             raise ValueError("leaf must be finite and positive")
+        if self.outliers not in ("statistical", "radius_count"):
+            raise ValueError("outliers must be statistical or radius_count")
 
 
 @dataclass(frozen=True)
@@ -77,11 +82,16 @@ def pipeline_3d(points: DataFrame, config: Config3D | None = None) -> dict[str,
     reach = max(c.normal_radius, c.tolerance, 0 if c.skip_sor else c.sor_radius)
     pairs = staging.save(radius_join(down, down, reach))
     near = lambda r: pairs.where(F.col("d2") <= F.lit(r).cast("float") * F.lit(r).cast("float"))
-    kept = down if c.skip_sor else staging.save(outlier_removal(down, c.sor_k, c.sor_alpha, c.sor_radius, pairs=near(c.sor_radius)))
+    if c.skip_sor:
+        kept = down
+    elif c.outliers == "radius_count":
+        kept = staging.save(radius_count_filter(down, c.sor_radius, c.min_neighbours, pairs=near(c.sor_radius)))
+    else:
+        kept = staging.save(outlier_removal(down, c.sor_k, c.sor_alpha, c.sor_radius, pairs=near(c.sor_radius)))
     out["02_sor_filtered"] = kept
     among = lambda p, cloud: p.join(cloud.select("pid"), "pid", "left_semi").join(cloud.select(F.col("pid").alias("qid")), "qid", "left_semi")
     out["03_normals"] = kept.join(normals_radius(kept, c.normal_radius, pairs=among(near(c.normal_radius), kept)), "pid")
-    plane = staging.save(fit_plane(kept, c.plane_threshold, c.plane_iterations, c.plane_seed, c.plane_confidence))
+    plane = staging.save(fit_plane(kept, c.plane_threshold, c.plane_iterations, c.plane_seed, c.plane_confidence, c.plane_test_first))
     if plane.isEmpty():
         raise ValueError("no plane found")
     parts = staging.save(split(kept, plane, c.plane_threshold))

@@ -23,6 +23,11 @@ def stages_of(table: DataFrame, include: Sequence[str] = (), exclude: Sequence[s
     return out.where(~hit(exclude)) if exclude else out
 
 
+def stage_names(table: DataFrame) -> DataFrame:
+    """(stage, frames): the stages there are and in how many frames each occurs."""
+    return table.groupBy("stage").agg(F.count_distinct("frame").alias("frames"))
+
+
 def frame_slice(table: DataFrame, start: int = 0, most: int | None = None) -> DataFrame:
     """Rows of the frames from the start-th on, at most ``most`` frames; frames in the order of their names."""
     frames = table.select("frame").distinct().withColumn("_i", F.row_number().over(Window.orderBy("frame")) - 1)
