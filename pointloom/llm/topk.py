@@ -30,10 +30,11 @@ from .common import Stage
 QUERY_BLOCK = 8192
 #: Pivots; drawn from the rows by hash, never more than this.
 PIVOTS = 64
-#: Candidates evaluated at once for a query before the bound is looked at again.
+#: Candidates evaluated at first for a query before the bound is looked at again; GROWTH times as many each further time.
 STEP = 64
-#: Queries whose bounds are held in memory at once.
-QUERY_TILE = 128
+GROWTH = 4
+#: Queries whose bounds are held in memory at once; few, so that they stay in the processor's cache.
+QUERY_TILE = 16
 
 
 def to_integers(vector: Column, scale: int = 256) -> Column:
@@ -66,8 +67,9 @@ def _by_length(batch: pa.RecordBatch, at: int) -> Iterator[pa.RecordBatch]:
 
 
 def _exact(m: np.ndarray) -> np.ndarray:
-    """Doubles where every inner product is exact in them, else Python integers."""
-    return m.astype(np.float64) if not m.size or float(np.abs(m).max()) ** 2 * m.shape[1] < 2**52 else m.astype(object)
+    """Single or double floats where every inner product is exact in them, else Python integers."""
+    most = float(np.abs(m.astype(np.float64)).max()) ** 2 * m.shape[1] if m.size else 0.0
+    return m.astype(np.float32 if most < 2**23 else np.float64 if most < 2**52 else object)
 
 
 def build_index(vectors: DataFrame, stage: Stage, *, id_col: str, vec_col: str, scale: int = 256, pivots: int = PIVOTS) -> tuple[DataFrame, np.ndarray]:
@@ -107,11 +109,14 @@ class _Queries:
         xf = vectors.astype(np.float64)
         norm = (xf * xf).sum(1)
         self.met += len(ids)
+        d = np.ascontiguousarray(d.T)
         for a in range(0, len(self.ids), QUERY_TILE):
             tile = slice(a, min(a + QUERY_TILE, len(self.ids)))
             low = np.zeros((tile.stop - tile.start, len(ids)))
-            for j in range(d.shape[1]):
-                np.maximum(low, np.abs(self.d[tile, j, None] - d[None, :, j]), out=low)
+            gap = np.empty_like(low)
+            for j in range(len(d)):
+                np.abs(np.subtract(self.d[tile, j, None], d[j], out=gap), out=gap)
+                np.maximum(low, gap, out=low)
             total = self.norm[tile, None] + norm[None, :]
             # rounding: distances carry about 1e-8 of the norms' root, hence the slack in the square
             low = np.maximum(0.0, low - 1e-6 * (1.0 + np.sqrt(total)))
@@ -123,15 +128,19 @@ class _Queries:
         best, k = self.best[i], self.k
         left = np.flatnonzero(bound >= -best[-1][0]) if len(best) == k else np.arange(len(ids))
         q = self.exact[i].astype(object) if big else self.exact[i]
+        step = STEP
         while len(left):
-            # the STEP rows of highest bound come next
-            if len(left) > STEP:
-                cut = np.argpartition(-bound[left], STEP)
-                now, left = left[cut[:STEP]], left[cut[STEP:]]
+            # the rows of highest bound come next
+            if len(left) > step:
+                cut = np.argpartition(-bound[left], step)
+                now, left = left[cut[:step]], left[cut[step:]]
             else:
                 now, left = left, left[:0]
+            step *= GROWTH
             self.evaluated[i] += len(now)
             score = x[now] @ q
+            if not big:
+                score = score.astype(np.float64)
             if len(best) == k:
                 keep = score >= -best[-1][0]
                 now, score = now[keep], score[keep]

@@ -502,6 +502,22 @@ def test_pivots_eliminate_where_distances_differ(spark):
     assert 0 < took[0] < 0.7 * took[1]
 
 
+@pytest.mark.parametrize(("large", "kind"), [(900, np.float32), (1100, np.float64), (2**22, np.float64), (2**24, np.float64), (2**26, object), (2**40, object)])
+def test_products_are_exact_at_any_size(large, kind):
+    rng = np.random.default_rng(9)
+    v = rng.integers(-large, large + 1, (900, 8))
+    v[0, 0] = large
+    assert topk._exact(v).dtype == kind
+    lists = [list(map(int, r)) for r in v[:5]]
+    d = np.array([[float(sum((a - b) ** 2 for a, b in zip(x, p, strict=True))) ** 0.5 for p in lists] for x in v.astype(object)])
+    q = topk._Queries(np.arange(6), v[:6], lists, 5)
+    small = np.arange(900) % 3 == 0  # batches of unlike sizes meet the same queries
+    for part in (small, ~small):
+        q.meet(np.arange(900)[part], v[part], d[part])
+    scores = v.astype(object) @ v[:6].T.astype(object)
+    assert q.best == [sorted((-scores[i, j], i) for i in range(900) if i != j)[:5] for j in range(6)]
+
+
 # -- mixing --------------------------------------------------------------------------------------------------------------
 
 
