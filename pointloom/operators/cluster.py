@@ -35,24 +35,40 @@ def _label(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
             return nodes, nodes[parent]
 
 
+def _contract(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.RecordBatch]:
+    """(u, v): each node linked to the least one of its component, for blocks of about ``most`` edges as they come."""
+    held: list[tuple[np.ndarray, np.ndarray]] = []
+
+    def star() -> pa.RecordBatch:
+        nodes, labels = _label(np.concatenate([u for u, _ in held]), np.concatenate([v for _, v in held]))
+        return pa.RecordBatch.from_arrays([pa.array(nodes), pa.array(labels)], ["u", "v"])
+
+    for b in batches:
+        held.append((b.column(0).to_numpy(), b.column(1).to_numpy()))
+        if sum(len(u) for u, _ in held) >= most:
+            yield star()
+            held = []
+    if held:
+        yield star()
+
+
 def connected_components(edges: DataFrame, one_task: int = ONE_TASK_EDGES) -> DataFrame:
     """(node, label) for the nodes of edges (u, v), bigint; label is the least node of the component.
 
-    The staged edges are counted: a graph of bounded size is labelled in one task, a larger one in rounds that take
-    the least label among neighbours and then the label's own label, each a shuffle by node.
+    The staged edges are counted: a graph of bounded size is labelled in one task. A larger one is contracted first:
+    every task links the nodes it meets straight to the least one in reach, block by block, which leaves about one edge a
+    node and block and needs no shuffle. What is left goes to one task if it is within the bound now, else through rounds
+    that take the least label among neighbours and then the label's own label, each a shuffle by node.
     """
     ship(edges.sparkSession)
     staging = Staging(edges.sparkSession, "components")
     edges = staging.save(edges.select(F.col("u").cast("long").alias("u"), F.col("v").cast("long").alias("v")))
-    if edges.count() <= one_task:
-
-        def label(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            got = [(b.column(0).to_numpy(), b.column(1).to_numpy()) for b in batches]
-            if got:
-                nodes, labels = _label(np.concatenate([g[0] for g in got]), np.concatenate([g[1] for g in got]))
-                yield pa.RecordBatch.from_arrays([pa.array(nodes), pa.array(labels)], ["node", "label"])
-
-        return edges.coalesce(1).mapInArrow(label, "node bigint, label bigint")
+    few = edges.count() <= one_task
+    if not few:
+        edges = staging.save(edges.mapInArrow(lambda batches: _contract(batches, ONE_TASK_EDGES), "u bigint, v bigint"))
+        few = edges.count() <= one_task
+    if few:
+        return edges.coalesce(1).mapInArrow(lambda batches: _contract(batches, one_task + 1), "u bigint, v bigint").toDF("node", "label")
     both = staging.save(edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v"))))
     labels = staging.save(both.groupBy(F.col("u").alias("node")).agg(F.least(F.min("v"), F.min("u")).alias("label")))
     while True:

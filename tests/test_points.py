@@ -3,6 +3,7 @@
 import math
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -139,6 +140,18 @@ def test_components_in_one_task_and_in_rounds(spark, monkeypatch, one_task):
     assert [got[i] for i in range(len(a))] == brute_components(np.asarray(a, np.float32), 0.3)
 
 
+def test_contraction_keeps_components():
+    rng = np.random.default_rng(5)
+    u, v = rng.integers(0, 400, (2, 300))
+    batches = [pa.RecordBatch.from_arrays([pa.array(u[i : i + 7]), pa.array(v[i : i + 7])], ["u", "v"]) for i in range(0, 300, 7)]
+    want = dict(zip(*cluster._label(u, v), strict=True))
+    for most in (1, 20, 10**6):
+        stars = list(cluster._contract(iter(batches), most))
+        got = dict(zip(*cluster._label(*(np.concatenate([b.column(i).to_numpy() for b in stars]) for i in (0, 1))), strict=True))
+        assert got == want and (most < 10**6 or len(stars) == 1)
+    assert list(cluster._contract(iter([]), 5)) == []
+
+
 def test_a_long_path_is_one_component(spark):
     edges = spark.range(200).select(F.col("id").alias("u"), (F.col("id") + 1).alias("v"))
     assert {r.label for r in cluster.connected_components(edges, 0).collect()} == {0}
