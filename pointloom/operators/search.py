@@ -18,6 +18,10 @@ from ..staging import Staging
 from .stats import XYZ, bounding_box, global_rank, xyz
 
 
+#: Places in a cell twice as wide as the first radius of ``knn_join``, for each neighbour sought, at most.
+_CROWD = 8
+
+
 def _celled(points: DataFrame, size: float) -> DataFrame:
     return points.withColumns({f"c{c}": cell(F.col(c), size) for c in XYZ})
 
@@ -27,18 +31,20 @@ def _around(rings: int) -> Column:
     return F.array(*(F.struct(*(F.lit(v).alias(n) for v, n in zip(d, XYZ, strict=True))) for d in ((i, j, k) for i in steps for j in steps for k in steps)))
 
 
-def radius_join(queries: DataFrame, points: DataFrame, radius: float, by: Sequence[str] = (), rings: int = 1) -> DataFrame:
+def radius_join(queries: DataFrame, points: DataFrame, radius: float, by: Sequence[str] = (), rings: int = 1, carry: Sequence[str] = ()) -> DataFrame:
     """(qid, pid, d2) for all points within the radius, the query's own point too: d2 <= radius^2 in single precision.
 
     Cells are radius / rings wide. More rings make smaller cells, for clouds whose dense cells hold too many pairs.
+    carry: further columns of the points. The query side has many more rows than its files let Spark expect, so it
+    is never left to Spark to broadcast it.
     """
     size = radius / rings * (1 + 1e-6)  # a rounding of the predicate never reaches past the outermost ring
     q = _celled(queries.select(*by, F.col("pid").alias("qid"), *(F.col(c).alias(f"q{c}") for c in XYZ)).withColumns({c: F.col(f"q{c}") for c in XYZ}), size)
     q = q.withColumn("_o", F.explode(_around(rings))).select(*by, "qid", *(f"q{c}" for c in XYZ), *((F.col(f"c{c}") + F.col(f"_o.{c}")).alias(f"c{c}") for c in XYZ))
-    p = _celled(points.select(*by, "pid", *XYZ), size)
+    p = _celled(points.select(*by, "pid", *XYZ, *carry), size)
     d2 = distance_sq(xyz("q"), xyz())
     r2 = F.lit(radius).cast("float") * F.lit(radius).cast("float")
-    return q.join(p, [*by, "cx", "cy", "cz"]).withColumn("d2", d2).where(F.col("d2") <= r2).select(*by, "qid", "pid", "d2", *XYZ)
+    return q.hint("merge").join(p, [*by, "cx", "cy", "cz"]).withColumn("d2", d2).where(F.col("d2") <= r2).select(*by, "qid", "pid", "d2", *XYZ, *carry)
 
 
 def radius_query(points: DataFrame, query: tuple[float, float, float], radius: float, max_nn: int | None = None) -> DataFrame:
@@ -59,35 +65,66 @@ def nearest(pairs: DataFrame, k: int, by: Sequence[str] = ()) -> DataFrame:
     return pairs.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
-def knn_join(points: DataFrame, k: int) -> DataFrame:
-    """Exact k nearest other points of every point: (qid, rank, pid, d2, x, y, z).
+def _places(points: DataFrame, most: int) -> DataFrame:
+    """One row for each place that points lie on: its least pid, x, y, z, and its ``most`` least pids in order.
+
+    The ranks prune ahead of the shuffle, so a place of very many points is never gathered.
+    """
+    w = Window.partitionBy(*XYZ).orderBy("pid")
+    first = points.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= most)
+    return first.groupBy(*XYZ).agg(F.array_sort(F.collect_list("pid")).alias("pids")).select(F.element_at("pids", 1).alias("pid"), *XYZ, "pids")
 
-    A radius is guessed from the density; queries that find k others within it are done, the rest go on with twice
-    the radius. Rounds are as many as doublings from the guess to the cloud's diagonal at most.
+
+def _crowds(places: DataFrame, size: float) -> DataFrame:
+    """Places and points of every occupied cell."""
+    return _celled(places, size).groupBy("cx", "cy", "cz").agg(F.count(F.lit(1)).alias("places"), F.sum(F.size("pids")).alias("points"))
+
+
+def knn_join(points: DataFrame, k: int) -> DataFrame:
+    """Exact k nearest other points of every point: (qid, rank, pid, d2, x, y, z). Points without three finite
+    coordinates take no part.
+
+    Points of one place share their neighbours, and of a place the k + 1 least pids are all that (d2, pid) can rank among
+    the k nearest of anything. So places are searched, each for the k + 1 nearest points, its own too; a point's
+    neighbours are those of its place without itself. The radius starts where the densest cells hold few places, and
+    doubles: a round takes the places with k + 1 points in a cell about them, and those that find as many within the radius are
+    done. Rounds are as many as doublings up to the cloud's diagonal at most.
     """
     staging = Staging(points.sparkSession, "knn")
-    points = staging.save(points.select("pid", *XYZ))
+    finite = " AND ".join(f"abs({c}) < float('infinity')" for c in XYZ)
+    points = staging.save(points.select("pid", *XYZ).where(finite))
     box = bounding_box(points).first()
-    if not box["n"] or box["n"] < 2:
+    if not box["n"] or box["n"] < 2 or k < 1:
         return points.select(F.col("pid").alias("qid"), F.lit(1).alias("rank"), "pid", F.lit(0).cast("float").alias("d2"), *XYZ).limit(0)
     extent = [max(float(box[f"max_{c}"]) - float(box[f"min_{c}"]), 0.0) for c in XYZ]
     diagonal = math.sqrt(sum(e * e for e in extent)) * (1 + 1e-5) + 1e-12
     k = min(k, box["n"] - 1)
+    places = staging.save(_places(points, k + 1))
     solid = [e for e in extent if e > 1e-3 * diagonal] or [diagonal]
-    radius = min(1.5 * (math.prod(solid) * (k + 1) / box["n"]) ** (1 / len(solid)), diagonal)
-    left, done = points, None
+    radius = min(1.5 * (math.prod(solid) * (k + 1) / places.count()) ** (1 / len(solid)), diagonal)
+    for _ in range(20):
+        if _crowds(places, 2 * radius).agg(F.max("places")).first()[0] <= _CROWD * (k + 1):
+            break
+        radius /= 2
+    left, done = places, None
     while True:
-        found = staging.save(nearest(radius_join(left, points, radius).where("qid <> pid"), k))
-        full = found.groupBy("qid").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= k).select("qid")
         last = radius >= diagonal
-        part = found if last else found.join(full, "qid", "left_semi")
-        done = part if done is None else done.unionByName(part)
-        if last:
-            return done.select("qid", "rank", "pid", "d2", *XYZ)
-        left = staging.save(left.join(full, left["pid"] == full["qid"], "left_anti"))
-        if left.isEmpty():
-            return done.select("qid", "rank", "pid", "d2", *XYZ)
+        ready = left
+        if not last:
+            full = _crowds(places, 2 * radius).where(F.col("points") > k).select("cx", "cy", "cz")
+            ready = _celled(left, 2 * radius).join(full.hint("merge"), ["cx", "cy", "cz"], "left_semi").select(*left.columns)
+        pairs = radius_join(ready, places, radius, carry=("pids",)).select("qid", "d2", *XYZ, F.explode("pids").alias("pid"))
+        near = nearest(pairs, k + 1).groupBy("qid").agg(F.array_sort(F.collect_list(F.struct("d2", "pid", *XYZ))).alias("near"))
+        found = staging.save(near.where(F.size("near") > k))
+        done = found if done is None else done.unionByName(found)
+        if not last:
+            left = staging.save(left.join(found.select(F.col("qid").alias("pid")).hint("merge"), "pid", "left_anti"))
+        if last or left.isEmpty():
+            break
         radius = min(2 * radius, diagonal)
+    near = places.select(F.col("pid").alias("qid"), *XYZ).join(done.hint("merge"), "qid").select(*XYZ, "near")
+    each = points.join(staging.save(near).hint("merge"), list(XYZ)).select(F.col("pid").alias("qid"), F.slice(F.filter("near", lambda p: p["pid"] != F.col("pid")), 1, k).alias("near"))
+    return each.select("qid", F.posexplode("near").alias("rank", "_p")).select("qid", (F.col("rank") + 1).alias("rank"), *(F.col(f"_p.{c}").alias(c) for c in ("pid", "d2", *XYZ)))
 
 
 def with_morton(points: DataFrame) -> DataFrame:

@@ -59,6 +59,27 @@ def test_knn_of_few_points(spark):
     assert search.knn_join(cloud(spark, [[0, 0, 0], [0, 0, 0], [5, 5, 5]]), 10).count() == 6
 
 
+def test_knn_of_repeated_places_and_a_dense_core(spark):
+    rng = np.random.default_rng(1)
+    a = np.concatenate((rng.normal(0, 0.001, (200, 3)), rng.uniform(-100, 100, (40, 3)), np.repeat(rng.normal(50, 1, (5, 3)), 9, 0), [[0, 0, 0]] * 4, [[-0.0, 0, 0]] * 4)).astype(np.float32)
+    d = sq(a)
+    want = {(i, r + 1, j) for i in range(len(a)) for r, j in enumerate([j for j in np.lexsort((np.arange(len(a)), d[i])) if j != i][:6])}
+    odd = np.concatenate((a, [[math.nan, 0, 0], [0, math.inf, 0]]))
+    assert {(r.qid, r.rank, r.pid) for r in search.knn_join(cloud(spark, odd), 6).collect()} == want
+
+
+def test_cells_of_queries_are_never_broadcast(spark, gauss):
+    """27 rows for each query: more than Spark expects of the files that they come from."""
+    p = cloud(spark, gauss)
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "1g")
+    try:
+        for d in (search.radius_join(p, p, 0.7), search.knn_join(p, 3)):
+            assert "Broadcast" not in d._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
 def test_radius_query_limits(spark, gauss):
     p = cloud(spark, gauss)
     every = search.radius_query(p, (0.0, 0.0, 0.0), 2.0).collect()
