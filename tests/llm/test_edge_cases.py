@@ -616,6 +616,19 @@ def test_secrets_are_found_by_their_look(table):
     assert len(bare) <= 8 and all(r.n_added == r.n_spans == 1 for r in found if r.doc_id not in bare)
 
 
+def test_trees_learn_from_every_proposal(table, monkeypatch):
+    rows = [(i, f"please write to jo.{i}@mail{i % 9}.example.com, {i * 7919 % 10**7:07d} items") for i in range(9000)]
+    rows.append((9000, "password=0123456789abcdef01 here"))  # the only secret among 27,001 proposals
+    model = pii.fit(table(rows))
+    assert pii.SECRET in model.kinds and model.rows == 27_001 and model.shift == 0
+    monkeypatch.setattr(pii, "MOST_ROWS", 5)
+    coarse = pii.fit(table(rows))
+    assert coarse.rows == model.rows and coarse.shift > 0
+    got = table([(1, "please write to jo.5 (at) mail3.example.com today"), (2, "1234567 items")])
+    for m in (model, coarse):
+        assert [r.s for r in got.select(pii.written(pii.added_spans(F.col("text"), F.array().cast(pii.SPANS), m)).alias("s")).collect()] == ["email:16:43", ""]
+
+
 def test_repeated_proposals_count_once(table):
     rows = [(i, "password=0123456789abcdef01 here") for i in range(3000)] + [(5000 + i, f"Donaudampfschifffahrtsgesellschaft{'abcdefghij'[i % 10] * (i // 10 + 1)}") for i in range(100)]
     got = pii.find_personal_data(table(rows)).where("n_added > 0").count()
